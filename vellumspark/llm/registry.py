@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from vellumspark.llm import packing, secrets, sharding, token_counts, url_filter
+from vellumspark.llm import embedding_duplicates, near_duplicates, packing, secrets, sharding, token_counts, url_filter
 from vellumspark.llm.common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -29,11 +29,19 @@ def op6_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_embedding_duplicates(spark, sf_dir):
+    return embedding_duplicates.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_near_duplicates(spark, sf_dir):
+    return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark, sf_dir):
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_counts, op5_url_filter, op6_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_counts, op4_embedding_duplicates, op5_url_filter, op6_packing, op8_near_duplicates, op10_secrets)}
 
 _RULES_SQL = ", ".join(f"('{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}')" for v, r in URL_RULES)
 
