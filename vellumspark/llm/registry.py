@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from vellumspark.llm import embedding_duplicates, near_duplicates, packing, secrets, sharding, token_counts, url_filter
+from vellumspark.llm import decontamination, embedding_duplicates, line_dedup, near_duplicates, packing, secrets, sharding, token_counts, toxicity, url_filter
 from vellumspark.llm.common import table
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    out = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_sharding(spark, sf_dir):
     out = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -33,15 +41,24 @@ def op4_embedding_duplicates(spark, sf_dir):
     return embedding_duplicates.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op8_near_duplicates(spark, sf_dir):
     return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_words", "removed_words", "text")
+
+
 def op10_secrets(spark, sf_dir):
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_counts, op4_embedding_duplicates, op5_url_filter, op6_packing, op8_near_duplicates, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sharding, op3_token_counts, op4_embedding_duplicates, op5_url_filter, op6_packing, op7_decontamination, op8_near_duplicates, op9_line_dedup, op10_secrets)}
 
 _RULES_SQL = ", ".join(f"('{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}')" for v, r in URL_RULES)
 
