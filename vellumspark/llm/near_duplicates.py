@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm import shingles
-from vellumspark.llm.common import cut, ship
+from vellumspark.llm.common import bloom_blocks, bloom_filter, bloom_may_contain, cut, ship
 from vellumspark.llm.components import components
 
 #: A signature has CHUNKS chunks of ROWS minima. A pair is a candidate if it differs in RADIUS places at most; then at
@@ -233,5 +233,8 @@ def _within(pairs: DataFrame) -> DataFrame:
 
 def _texts(source: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, text) of the wanted representatives, found by key and checksum."""
-    need = reps.join(wanted, F.col("rep") == F.col("r"), "left_semi").select("rep", "vertex", F.col("th").alias("of_th"))
-    return source.withColumn("th", F.xxhash64("text")).join(need, (F.col("key") == F.col("vertex")) & (F.col("th") == F.col("of_th"))).select("rep", "text")
+    need = cut(reps.join(wanted, F.col("rep") == F.col("r"), "left_semi").select("rep", "vertex", F.col("th").alias("of_th")))
+    blocks = bloom_blocks(need.count())
+    near = bloom_filter(need, "of_th", blocks)  # texts that nobody asks for are not shuffled
+    rows = source.withColumn("th", F.xxhash64("text"))
+    return rows.where(bloom_may_contain(near, F.col("th"), blocks)).join(need, (F.col("key") == F.col("vertex")) & (F.col("th") == F.col("of_th"))).select("rep", "text")
