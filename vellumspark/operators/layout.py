@@ -1,0 +1,263 @@
+"""Joins, windows, folds and aggregates over layout relations. Every join has (doc_id, page) as its equality."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from vellumspark.functions import geometry as G
+from vellumspark.functions import text as T
+from vellumspark.options import Options
+
+PAGE = ["doc_id", "page"]
+
+
+def _pairs(left: DataFrame, right: DataFrame, how: str, *conditions: Column) -> DataFrame:
+    on = (F.col("l.doc_id") == F.col("r.doc_id")) & (F.col("l.page") == F.col("r.page"))
+    for c in conditions:
+        on = on & c
+    return left.alias("l").join(right.alias("r"), on, how)
+
+
+def suppress_text(regions: DataFrame, page_area: float, o: Options = Options()) -> DataFrame:
+    """Regions without the text that a table covers, or that a figure holds by centre and cover."""
+    a, b = F.col("l.box"), F.col("r.box")
+    covered = G.cover(a, b)
+    by_figure = F.when(G.area(b) > page_area * o.large_figure_share, o.large_figure_cover).otherwise(o.figure_cover)
+    hit = ((F.col("r.category") == "table") & (covered > o.table_cover)) | ((F.col("r.category") == "figure") & G.centre_inside(a, b) & (covered > by_figure))
+    is_text = F.col("category").isin("text", "caption")
+    kept = _pairs(regions.where(is_text), regions.where(F.col("category").isin("table", "figure")), "left_anti", hit)
+    return kept.unionByName(regions.where(~is_text))
+
+
+def merge_embedded(embedded: DataFrame, structure: DataFrame, o: Options = Options()) -> DataFrame:
+    """Text-layer regions that overlap no table or figure, with the structure."""
+    return _pairs(embedded, structure, "left_anti", G.overlap(F.col("l.box"), F.col("r.box")) > o.embedded_overlap).unionByName(structure)
+
+
+def fill_complementary(primary: DataFrame, secondary: DataFrame) -> DataFrame:
+    """primary, and secondary text that neither overlaps its structure nor repeats its text."""
+    a, b = F.col("l.box"), F.col("r.box")
+    structure = (F.col("r.category").isin("table", "figure")) & (G.cover(a, b) > 0.55)
+    same = (T.norm_key(F.col("l.text")) == T.norm_key(F.col("r.text"))) & (G.overlap(a, b) > 0.25)
+    return primary.unionByName(_pairs(secondary, primary, "left_anti", structure | same | (G.overlap(a, b) > 0.65)))
+
+
+def nearest_marker(markers: DataFrame, bodies: DataFrame, page_height: float, o: Options = Options()) -> DataFrame:
+    """Each marker with the nearest body of its page by top edge, within reach; ties to the first body."""
+    gap = F.abs(F.col("l.box.y0") - F.col("r.box.y0"))
+    near = _pairs(markers, bodies, "inner", gap <= o.marker_reach * page_height)
+    best = F.min(F.struct(gap.alias("gap"), F.col("r.ord").alias("body"))).alias("m")
+    return near.groupBy("l.doc_id", "l.page", "l.ord").agg(best).select("doc_id", "page", "ord", "m.body", "m.gap")
+
+
+def missing_markers(markers: DataFrame, lines: DataFrame) -> DataFrame:
+    """Markers (doc_id, token) that no line of their document has, with digit boundaries."""
+    escaped = F.replace(F.replace(F.col("l.token"), F.lit("."), F.lit("\\.")), F.lit(")"), F.lit("\\)"))
+    found = F.rlike(F.col("r.text"), F.concat(F.lit("(?<![0-9])"), escaped, F.lit("(?![0-9])")))
+    return markers.alias("l").join(lines.alias("r"), (F.col("l.doc_id") == F.col("r.doc_id")) & found, "left_anti")
+
+
+def manual_union(detected: DataFrame, manual: DataFrame) -> DataFrame:
+    """Manual regions behind the detected ones, with full confidence."""
+    return detected.withColumn("source", F.lit("model")).unionByName(manual.withColumns({"confidence": F.lit(1.0), "source": F.lit("manual")}))
+
+
+def dedup_exact(lines: DataFrame) -> DataFrame:
+    """The richest line of each text (white space aside) on a page; ties to the first. Blank lines stay."""
+    keyed = lines.withColumns({"k": T.norm_key("text"), "rich": T.richness("text")})
+    first = Window.partitionBy(*PAGE, "k").orderBy(F.desc("rich"), "y0", "x0", "ln")
+    return keyed.withColumn("n", F.row_number().over(first)).where("n = 1 or k = ''").drop("k", "rich", "n")
+
+
+def dedup_near(lines: DataFrame, o: Options = Options()) -> DataFrame:
+    """Page by page in order: a line goes if one of the last kept ones, near in height, is nearly the same text.
+
+    The richer of the two stays. Ratcliff-Obershelp ratios exist in Python only, so a page is a group of a pandas function.
+    """
+    rows, distance = o.near_rows, o.near_distance
+
+    def page(pdf):
+        from difflib import SequenceMatcher
+
+        kept: list = []
+        for r in pdf.sort_values(["y0", "x0", "ln"]).itertuples():
+            key, twin = "".join(r.text.split()), None
+            for n in range(len(kept) - 1, max(-1, len(kept) - 1 - rows), -1):
+                k, other = kept[n]
+                if abs(r.y0 - other.y0) > distance:
+                    break
+                if not key or not k:
+                    continue
+                lo, hi = sorted((key, k), key=len)
+                if lo == hi or (len(lo) >= 18 and len(lo) >= 0.55 * len(hi) and lo in hi) or (len(lo) >= 16 and SequenceMatcher(None, key[:80], k[:80]).ratio() >= 0.9):
+                    twin = n
+                    break
+            if twin is None:
+                kept.append((key, r))
+            elif len(key) > len(kept[twin][0]):
+                kept[twin] = (key, r)
+        return pdf.loc[[r.Index for _, r in kept]]
+
+    return lines.groupBy(*PAGE).applyInPandas(page, lines.schema)
+
+
+def non_maximum(regions: DataFrame, o: Options = Options()) -> DataFrame:
+    """Greedy by confidence within page and category: a region goes if it overlaps a kept one; regions without box stay."""
+    most = o.nms_overlap
+
+    def page(pdf):
+        kept: list = []
+        for r in pdf.sort_values(["confidence", "ord"], ascending=[False, True]).itertuples():
+            b = r.box
+            if b is not None:
+                area = max((b["x1"] - b["x0"]) * (b["y1"] - b["y0"]), 1e-6)
+                hit = False
+                for c, other in ((k[1], k[2]) for k in kept if k[1] is not None):
+                    w, h = min(b["x1"], c["x1"]) - max(b["x0"], c["x0"]), min(b["y1"], c["y1"]) - max(b["y0"], c["y0"])
+                    if w > 0 and h > 0 and w * h / min(area, other) >= most:
+                        hit = True
+                        break
+                if hit:
+                    continue
+            else:
+                area = 0.0
+            kept.append((r.Index, b, area))
+        return pdf.loc[[k[0] for k in kept]]
+
+    return regions.groupBy(*PAGE, "category").applyInPandas(page, regions.schema)
+
+
+def reading_order(lines: DataFrame, page_width: float, order: str = "columns") -> DataFrame:
+    """Rank of each line on its page: two columns where the page shows them (`columns`), else by top and left edge."""
+    page = Window.partitionBy(*PAGE)
+    left = F.col("x0") + 50 < page_width / 2
+    side = lambda c, f, v: f(F.when(c, F.col(v))).over(page)
+    two = (F.count_if(left).over(page) >= 2) & (F.count_if(~left).over(page) >= 2) & (side(~left, F.min, "x0") - side(left, F.max, "x1") > page_width * 0.1)
+    column = F.when(two & ~left & F.lit(order == "columns"), 1).otherwise(0)
+    rows = lines.withColumn("col", F.coalesce(column, F.lit(0)))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*PAGE).orderBy("col", "y0", "x0", "ln")))
+
+
+def top_structure(regions: DataFrame, o: Options = Options()) -> DataFrame:
+    """The largest figures (none far smaller than the largest) and tables of each page."""
+    rows = regions.where(F.col("category").isin("figure", "table")).withColumn("area", G.area(F.col("box")))
+    of = Window.partitionBy(*PAGE, "category")
+    rows = rows.withColumns({"k": F.row_number().over(of.orderBy(F.desc("area"), "ord")), "largest": F.max("area").over(of)})
+    figure = (F.col("category") == "figure") & (F.col("k") <= o.figures_per_page) & (F.col("area") >= o.smallest_figure_share * F.col("largest"))
+    return rows.where(figure | ((F.col("category") == "table") & (F.col("k") <= o.tables_per_page))).drop("k", "largest")
+
+
+def paragraphs(lines: DataFrame) -> DataFrame:
+    """Lines joined while the gap is small, the line before reaches far right and the indent is small; numbered items break."""
+    by = Window.partitionBy(*PAGE).orderBy("y0", "ln")
+    page = Window.partitionBy(*PAGE)
+    h = F.greatest(F.col("y1") - F.col("y0"), F.lit(1))
+    width = F.greatest(F.max("x1").over(page) - F.min("x0").over(page), F.lit(1))
+    prev = lambda c: F.lag(c).over(by)
+    near = (F.col("y0") - prev("y1")) < 0.85 * h
+    reach = (prev("x1") - F.min("x0").over(page)) >= 0.8 * width
+    indent = (F.col("x0") - prev("x0")) < 0.35 * width
+    numbered = F.col("text").rlike(r"^\s*\d{1,2}\s*[.)]")
+    flagged = lines.withColumn("starts", F.when(F.coalesce(near & reach & indent & ~numbered, F.lit(False)), 0).otherwise(1))
+    return flagged.withColumn("paragraph", F.sum("starts").over(by)).groupBy(*PAGE, "paragraph").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "text"))), lambda s: s["text"]), " ").alias("text"), F.count(F.lit(1)).alias("n_lines")
+    )
+
+
+def cluster_positions(points: DataFrame, gap: int) -> DataFrame:
+    """Positions of a group whose neighbours are less than `gap` apart, as one integer mean each."""
+    by = Window.partitionBy("group_id").orderBy("pos")
+    flagged = points.withColumn("new", F.when(F.col("pos") - F.lag("pos").over(by) < gap, 0).otherwise(1))
+    return flagged.withColumn("cluster", F.sum("new").over(by)).groupBy("group_id", "cluster").agg(F.avg("pos").cast("int").alias("centre"), F.count(F.lit(1)).alias("n"))
+
+
+def segments_to_lines(segments: DataFrame, o: Options = Options()) -> DataFrame:
+    """Segments (doc_id, page, text, conf, box) to lines: a segment joins the open line if its centre is near the centre of
+    the line's FIRST segment. Unsure, blank and box-less segments go. An ordered fold over the page's sorted segments."""
+    ok = F.col("box").isNotNull() & (T.strip_("text") != "") & (F.col("conf").isNull() | (F.col("conf") >= o.min_confidence))
+    cy, h = (F.col("box.y0") + F.col("box.y1")) / 2, F.col("box.y1") - F.col("box.y0")
+    item = F.struct(cy.alias("cy"), F.col("box.x0").alias("x0"), h.alias("h"), F.col("text"), F.col("box"), F.coalesce("conf", F.lit(1.0)).alias("conf"))
+    pages = segments.where(ok).groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    # the fold numbers lines: it keeps each line's first centre and greatest height, and gives every segment its line
+    start = F.struct(F.lit(None).cast("double").alias("cy"), F.lit(0.0).alias("h"), F.lit(0).alias("line"), F.array().cast("array<int>").alias("lines"))
+
+    def step(acc, x):
+        height = F.greatest(acc["h"], x["h"])
+        same = F.coalesce(F.abs(x["cy"] - acc["cy"]) <= o.line_tolerance * height, F.lit(False))
+        line = F.when(same, acc["line"]).otherwise(acc["line"] + 1)
+        return F.struct(F.when(same, acc["cy"]).otherwise(x["cy"]).alias("cy"), F.when(same, height).otherwise(x["h"]).alias("h"), line.alias("line"), F.concat(acc["lines"], F.array(line)).alias("lines"))
+
+    folded = pages.select(*PAGE, F.explode(F.arrays_zip("items", F.aggregate("items", start, step, lambda a: a["lines"]).alias("line"))).alias("z"))
+    rows = folded.select(*PAGE, "z.line", "z.items.*")
+    return rows.groupBy(*PAGE, "line").agg(
+        T.thai_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "cy", "text"))), lambda s: s["text"])).alias("text"),
+        G.box(F.min("box.x0"), F.min("box.y0"), F.max("box.x1"), F.max("box.y1")).alias("box"), F.avg("conf").alias("conf"),
+    )
+
+
+def merge_softwraps(lines: DataFrame) -> DataFrame:
+    """Neighbours of a page joined where Thai meets Thai and the gap is small; the grown block meets the next line."""
+    item = F.struct("y0", "ln", "text", "y1")
+    pages = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    start = F.array().cast("array<struct<y0:int,y1:int,text:string,ln:int>>")
+
+    def step(acc, x):
+        last = F.element_at(acc, -1)
+        joins = last["text"].rlike("[\\u0E00-\\u0E7F]$") & x["text"].rlike("^[\\u0E00-\\u0E7F]") & ((x["y0"] - last["y1"]) <= 1.6 * (last["y1"] - last["y0"]))
+        new = F.struct(x["y0"].alias("y0"), x["y1"].alias("y1"), x["text"].alias("text"), x["ln"].alias("ln"))
+        grown = F.struct(last["y0"].alias("y0"), x["y1"].alias("y1"), F.concat(last["text"], x["text"]).alias("text"), last["ln"].alias("ln"))
+        return F.when((F.size(acc) > 0) & F.coalesce(joins, F.lit(False)), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
+
+    return pages.select(*PAGE, F.explode(F.aggregate("items", start, step)).alias("b")).select(*PAGE, "b.ln", "b.text", "b.y0", "b.y1")
+
+
+def page_statistics(lines: DataFrame) -> DataFrame:
+    return lines.groupBy(*PAGE).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(T.strip_("text") != "").alias("n_filled"), F.sum(F.length("text")).alias("n_chars"),
+        F.sum(F.length(T.norm_key("text"))).alias("n_visible"), F.sum(T.thai_count("text")).alias("n_thai"), F.max("x1").alias("right"), F.max("y1").alias("bottom"),
+    )
+
+
+def paint_spans(cells: DataFrame) -> DataFrame:
+    """Cells (table_id, r0, c0, r1, c1, text; half-open) to one text for each grid slot; the longest wins."""
+    rows = cells.select("table_id", "text", F.explode(F.sequence("r0", F.col("r1") - 1)).alias("r"), "c0", "c1")
+    slots = rows.select("table_id", "text", "r", F.explode(F.sequence("c0", F.col("c1") - 1)).alias("c"))
+    return slots.groupBy("table_id", "r", "c").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("x")).select("table_id", "r", "c", "x.text")
+
+
+def words_to_lines(words: DataFrame) -> DataFrame:
+    """Recogniser words (doc_id, line_num, ord, text, conf in percent) to lines with mean confidence; failed words go."""
+    good = words.where((F.col("conf") >= 0) & (T.strip_("text") != ""))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"]), " ")
+    return good.groupBy("doc_id", "line_num").agg(text.alias("text"), (F.avg("conf") / 100).alias("conf"))
+
+
+def document_text(lines: DataFrame) -> DataFrame:
+    """One text for each document: its blocks in order of page and place, parted by blank lines."""
+    ordered = F.array_sort(F.collect_list(F.struct("page", "y0", "x0", "ln", "text")))
+    return lines.where(T.strip_("text") != "").groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "\n\n").alias("text"))
+
+
+def choose_text_layer(pages: DataFrame) -> DataFrame:
+    """pages (doc_id, page, reliable): the text layer is used where reliable, if half of a document's pages are (one at least)."""
+    of = Window.partitionBy("doc_id")
+    enough = F.sum(F.col("reliable").cast("int")).over(of) >= F.greatest(F.lit(1), F.floor((F.count(F.lit(1)).over(of) + 1) / 2))
+    return pages.withColumn("use_layer", enough & F.col("reliable"))
+
+
+def expired(entries: DataFrame, now: Column, days: int) -> DataFrame:
+    """Entries that retention leaves."""
+    return entries.where(F.col("created_at") >= now - F.make_interval(days=F.lit(days)))
+
+
+def correction_stats(log: DataFrame, interval: int) -> DataFrame:
+    """How many manual corrections there are, and at how many the next training starts."""
+    n = F.count_if(F.col("source") == "manual")
+    return log.agg(n.alias("n_manual"), ((F.floor(n / interval) + 1) * interval).cast("bigint").alias("next_at"))
+
+
+def retrain_points(log: DataFrame, interval: int) -> DataFrame:
+    """The manual corrections at which training starts, by document stream: every interval-th in order of appending."""
+    manual = log.where("source = 'manual'").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")))
+    return manual.where(F.col("n") % interval == 0).select("doc_id", "ord", "n")

@@ -1,6 +1,317 @@
-"""The registered queries and the SQL that gives the same rows."""
+"""The registered queries over stand-in layout relations, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from vellumspark.functions import geometry as G
+from vellumspark.functions import tables as B
+from vellumspark.functions import text as T
+from vellumspark.operators import export, layout
+from vellumspark.options import LABEL_IDS
+from vellumspark.sources.layout import html_blocks, lines_of, regions_of, table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+_LINES = """lines AS (SELECT doc_id, ln, ln // 40 AS page, text, 50 AS x0, (ln % 40) * 24 AS y0, 50 + 7 * least(length(text), 120) AS x1, (ln % 40) * 24 + 20 AS y1
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM documents))"""
+_REGIONS = """sized AS (SELECT *, CAST(floor(abs(value)) AS BIGINT) AS size FROM events),
+    regions AS (SELECT event_id // 500 AS doc_id, event_id // 50 AS page, event_id AS ord, CASE event_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'table' ELSE 'figure' END AS category,
+        event_type AS class, (event_id % 97) / 97.0 AS confidence, CAST((user_id * 37) % 800 AS DOUBLE) AS x0, CAST((event_id * 53) % 900 AS DOUBLE) AS y0,
+        CAST((user_id * 37) % 800 + 20 + size % 200 AS DOUBLE) AS x1, CAST((event_id * 53) % 900 + 15 + (size * 7) % 150 AS DOUBLE) AS y1 FROM sized)"""
+_INTER = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0.0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0.0)"
+_AREA = lambda a: f"greatest(({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0), 1e-6)"
+_WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"  # white space in the sense of Unicode, for an engine whose \s is narrower
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _lines(spark, sf):
+    return lines_of(table(spark, sf, "documents"))
+
+
+def _regions(spark, sf):
+    return regions_of(table(spark, sf, "events"))
+
+
+_flat = lambda df: df.select(*(c for c in df.columns if c != "box"), F.col("box.x0").alias("x0"), F.col("box.y0").alias("y0"), F.col("box.x1").alias("x1"), F.col("box.y1").alias("y1"))
+
+
+@_query(f"""WITH {_LINES}, keyed AS (SELECT *, regexp_replace(text, '{_WS}+', '', 'g') AS k FROM lines),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, k ORDER BY length(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g')) DESC, y0, x0, ln) AS n FROM keyed)
+    SELECT doc_id, CAST(page AS INTEGER) AS page, count(*) AS n_lines, count(*) FILTER (WHERE k <> '') AS n_filled, CAST(sum(length(text)) AS BIGINT) AS n_chars,
+        CAST(sum(length(k)) AS BIGINT) AS n_visible, CAST(0 AS BIGINT) AS n_thai, max(x1) AS "right", max(y1) AS bottom FROM kept WHERE n = 1 OR k = '' GROUP BY doc_id, page""")
+def page_statistics(spark, sf):
+    return layout.page_statistics(layout.dedup_exact(_lines(spark, sf)))
+
+
+@_query(f"WITH {_LINES} SELECT doc_id, ln, trim(regexp_replace(text, '[ \\t\\x{{00A0}}]+', ' ', 'g'), ' ') AS text FROM lines")
+def clean_lines(spark, sf):
+    return _lines(spark, sf).select("doc_id", "ln", T.clean_text("text").alias("text"))
+
+
+@_query(f"""WITH c AS (SELECT doc_id, text, length(text) AS n, length(regexp_replace(text, '[^\\x{{FFFD}}]', '', 'g')) AS broken, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters,
+    length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits, length(regexp_replace(text, '[^)]', '', 'g')) AS closing, length(regexp_replace(text, '[^(]', '', 'g')) AS opening FROM documents)
+    SELECT doc_id, regexp_replace(text, '{_WS}+', '', 'g') <> '' AND broken <= n * 0.05 AND letters >= n * 0.25 AS plain,
+        regexp_replace(text, '{_WS}+', '', 'g') <> '' AND broken <= n * 0.05 AND letters >= n * 0.25 AND letters >= 40 AND letters >= n * 0.55 AND digits <= n * 0.12 AND closing <= opening + 2 AS for_thai FROM c""")
+def text_layer_reliable(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.text_layer_reliable("text").alias("plain"), T.text_layer_reliable("text", True).alias("for_thai"))
+
+
+@_query(f"""WITH {_LINES}, keyed AS (SELECT *, regexp_replace(text, '{_WS}+', '', 'g') AS k FROM lines),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, k ORDER BY length(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g')) DESC, y0, x0, ln) AS n FROM keyed)
+    SELECT doc_id, ln, text FROM kept WHERE n = 1 OR k = ''""")
+def dedup_exact(spark, sf):
+    return layout.dedup_exact(_lines(spark, sf)).select("doc_id", "ln", "text")
+
+
+@_query()
+def dedup_near(spark, sf):
+    return layout.dedup_near(_lines(spark, sf)).select("doc_id", "ln", "text")
+
+
+@_query("""WITH tokens AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN (event_id % 40) || ')' WHEN 1 THEN (event_id % 25) || '.' || (user_id % 25) WHEN 2 THEN (event_id % 25) || '.' ELSE '0.' || (event_id % 99) END AS token FROM events),
+    parts AS (SELECT *, TRY_CAST(regexp_extract(token, '^(\\d{1,2})\\)$', 1) AS INTEGER) AS p, TRY_CAST(regexp_extract(token, '^(\\d{1,2})\\.$', 1) AS INTEGER) AS d,
+        TRY_CAST(regexp_extract(token, '^(\\d{1,2})\\.(\\d{1,2})$', 1) AS INTEGER) AS l, TRY_CAST(regexp_extract(token, '^(\\d{1,2})\\.(\\d{1,2})$', 2) AS INTEGER) AS r FROM tokens)
+    SELECT event_id, token, coalesce(p BETWEEN 1 AND 30, d BETWEEN 1 AND 20, l BETWEEN 1 AND 20 AND r BETWEEN 1 AND 20, false) AS valid,
+        CASE WHEN l IS NOT NULL THEN 'S' || token ELSE 'L' || regexp_extract(token, '^(\\d{1,2})', 1) END AS marker FROM parts""")
+def marker_keys(spark, sf):
+    e = table(spark, sf, "events")
+    token = F.expr("case event_id % 4 when 0 then concat(event_id % 40, ')') when 1 then concat(event_id % 25, '.', user_id % 25) when 2 then concat(event_id % 25, '.') else concat('0.', event_id % 99) end")
+    return e.select("event_id", token.alias("token")).select("event_id", "token", T.valid_marker("token").alias("valid"), T.marker_key("token").alias("marker"))
+
+
+_MARKERS = "m(token) AS (VALUES ('1.'), ('2.1'), ('3)'), ('42'), ('7.'))"
+
+
+@_query(f"""WITH {_LINES}, {_MARKERS}, wanted AS (SELECT doc_id, token FROM documents, m)
+    SELECT doc_id, token FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = w.doc_id AND regexp_matches(l.text, '(^|[^0-9])' || replace(replace(w.token, '.', '\\.'), ')', '\\)') || '($|[^0-9])'))""")
+def missing_markers(spark, sf):
+    docs = table(spark, sf, "documents")
+    wanted = docs.select("doc_id", F.explode(F.array(*map(F.lit, ("1.", "2.1", "3)", "42", "7.")))).alias("token"))
+    return layout.missing_markers(wanted, _lines(spark, sf).select("doc_id", "text"))
+
+
+@_query(f"""WITH {_LINES}, t AS (SELECT *, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS s FROM lines)
+    SELECT doc_id, ln, length(s) <= 90 AND regexp_matches(s, '(?i)^(\\d{{1,2}}\\.(\\d{{1,2}})?\\s+\\S|chapter\\s+\\d|appendix\\b|glossary\\b)') AS header FROM t""")
+def header_lines(spark, sf):
+    return _lines(spark, sf).select("doc_id", "ln", T.is_header("text").alias("header"))
+
+
+_SPLIT = "split AS (SELECT doc_id, page, ln, CASE WHEN ln % 2 = 1 THEN 520 ELSE x0 END AS x0, CASE WHEN ln % 2 = 1 THEN 900 ELSE least(x1, 400) END AS x1, y0, y1 FROM lines)"
+
+
+@_query(f"""WITH {_LINES}, {_SPLIT}, sides AS (SELECT *, x0 + 50 < 470 AS lft FROM split),
+    flags AS (SELECT *, count(*) FILTER (WHERE lft) OVER p >= 2 AND count(*) FILTER (WHERE NOT lft) OVER p >= 2
+        AND min(CASE WHEN NOT lft THEN x0 END) OVER p - max(CASE WHEN lft THEN x1 END) OVER p > 94 AS two FROM sides WINDOW p AS (PARTITION BY doc_id, page)),
+    cols AS (SELECT *, CASE WHEN coalesce(two, false) AND NOT lft THEN 1 ELSE 0 END AS col FROM flags)
+    SELECT doc_id, CAST(page AS INTEGER) AS page, ln, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY col, y0, x0, ln) AS INTEGER) AS rank FROM cols""")
+def reading_order(spark, sf):
+    odd = F.col("ln") % 2 == 1
+    rows = _lines(spark, sf).withColumns({"x1": F.when(odd, 900).otherwise(F.least("x1", F.lit(400))), "x0": F.when(odd, 520).otherwise(F.col("x0"))})
+    return layout.reading_order(rows, 940).select("doc_id", "page", "ln", "rank")
+
+
+@_query(f"""WITH {_LINES}, w AS (SELECT *, lag(y1) OVER o AS py1, lag(x1) OVER o AS px1, lag(x0) OVER o AS px0, min(x0) OVER p AS lo, greatest(max(x1) OVER p - min(x0) OVER p, 1) AS width
+        FROM lines WINDOW o AS (PARTITION BY doc_id, page ORDER BY y0, ln), p AS (PARTITION BY doc_id, page)),
+    f AS (SELECT *, CASE WHEN coalesce(y0 - py1 < 0.85 * greatest(y1 - y0, 1) AND px1 - lo >= 0.8 * width AND x0 - px0 < 0.35 * width AND NOT regexp_matches(text, '^\\s*\\d{{1,2}}\\s*[.)]'), false) THEN 0 ELSE 1 END AS starts FROM w),
+    g AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, page ORDER BY y0, ln) AS paragraph FROM f)
+    SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(paragraph AS BIGINT) AS paragraph, string_agg(text, ' ' ORDER BY ln) AS text, count(*) AS n_lines FROM g GROUP BY doc_id, page, paragraph""")
+def lines_to_paragraphs(spark, sf):
+    return layout.paragraphs(_lines(spark, sf))
+
+
+@_query(f"""WITH {_REGIONS} SELECT a.doc_id, a.page, a.ord, a.category FROM regions a WHERE a.category <> 'text' OR NOT EXISTS (
+    SELECT 1 FROM regions b WHERE b.doc_id = a.doc_id AND b.page = a.page AND ((b.category = 'table' AND {_INTER} / {_AREA('a')} > 0.72)
+        OR (b.category = 'figure' AND (a.x0 + a.x1) / 2 BETWEEN b.x0 AND b.x1 AND (a.y0 + a.y1) / 2 BETWEEN b.y0 AND b.y1
+            AND {_INTER} / {_AREA('a')} > CASE WHEN {_AREA('b')} > 1000000 * 0.45 THEN 0.92 ELSE 0.80 END)))""")
+def region_suppress(spark, sf):
+    return layout.suppress_text(_regions(spark, sf), 1_000_000).select("doc_id", "page", "ord", "category")
+
+
+@_query(f"""WITH {_REGIONS} SELECT doc_id, page, ord FROM regions WHERE category <> 'text' UNION ALL
+    SELECT a.doc_id, a.page, a.ord FROM regions a WHERE a.category = 'text' AND NOT EXISTS (SELECT 1 FROM regions b
+        WHERE b.category <> 'text' AND b.doc_id = a.doc_id AND b.page = a.page AND {_INTER} / least({_AREA('a')}, {_AREA('b')}) > 0.40)""")
+def embedded_merge(spark, sf):
+    r = _regions(spark, sf)
+    return layout.merge_embedded(r.where("category = 'text'"), r.where("category <> 'text'")).select("doc_id", "page", "ord")
+
+
+@_query()
+def region_nms(spark, sf):
+    return _flat(layout.non_maximum(_regions(spark, sf)))
+
+
+@_query(f"""WITH {_REGIONS}, ranked AS (SELECT *, {_AREA('r')} AS area FROM regions r WHERE category <> 'text'),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, category ORDER BY area DESC, ord) AS k, max(area) OVER (PARTITION BY doc_id, page, category) AS largest FROM ranked)
+    SELECT doc_id, page, ord, category, area FROM k WHERE (category = 'figure' AND k <= 2 AND area >= 0.08 * largest) OR (category = 'table' AND k <= 1)""")
+def structure_topk(spark, sf):
+    return layout.top_structure(_regions(spark, sf)).select("doc_id", "page", "ord", "category", "area")
+
+
+@_query(f"""WITH {_REGIONS}, near AS (SELECT a.doc_id, a.page, a.ord, b.ord AS body, abs(a.y0 - b.y0) AS gap, row_number() OVER (PARTITION BY a.doc_id, a.page, a.ord ORDER BY abs(a.y0 - b.y0), b.ord) AS k
+    FROM regions a JOIN regions b ON a.doc_id = b.doc_id AND a.page = b.page AND a.category = 'table' AND b.category = 'text' AND abs(a.y0 - b.y0) <= 0.1 * 900)
+    SELECT doc_id, page, ord, body, gap FROM near WHERE k = 1""")
+def nearest_marker(spark, sf):
+    r = _regions(spark, sf)
+    return layout.nearest_marker(r.where("category = 'table'"), r.where("category = 'text'"), 900.0)
+
+
+@_query(f"""WITH {_REGIONS} SELECT doc_id, page, ord, CASE WHEN ord % 10 = 0 THEN 1.0 ELSE confidence END AS confidence, CASE WHEN ord % 10 = 0 THEN 'manual' ELSE 'model' END AS source FROM regions""")
+def manual_union(spark, sf):
+    r = _regions(spark, sf)
+    return layout.manual_union(r.where("ord % 10 <> 0"), r.where("ord % 10 = 0")).select("doc_id", "page", "ord", "confidence", "source")
+
+
+@_query(f"""WITH {_REGIONS} SELECT ord, format('{{:d}} {{:.6f}} {{:.6f}} {{:.6f}} {{:.6f}}', CASE category WHEN 'text' THEN 1 WHEN 'table' THEN 5 ELSE 3 END,
+    (x0 + x1) / 2 / 1024, (y0 + y1) / 2 / 1024, (x1 - x0) / 1024, (y1 - y0) / 1024) AS label FROM regions""")
+def yolo_labels(spark, sf):
+    number = F.when(F.col("category") == "text", LABEL_IDS["plain text"]).when(F.col("category") == "table", LABEL_IDS["table"]).otherwise(LABEL_IDS["figure"])
+    return _regions(spark, sf).select("ord", G.label_line(number, F.col("box"), 1024, 1024).alias("label"))
+
+
+_LOG = "log AS (SELECT event_id // 500 AS doc_id, event_id AS ord, CASE WHEN event_id % 3 = 0 THEN 'manual' ELSE 'model' END AS source FROM events)"
+
+
+def _log(spark, sf):
+    return table(spark, sf, "events").select(F.floor(F.col("event_id") / 500).alias("doc_id"), F.col("event_id").alias("ord"), F.when(F.col("event_id") % 3 == 0, "manual").otherwise("model").alias("source"))
+
+
+@_query(f"WITH {_LOG} SELECT count(*) FILTER (WHERE source = 'manual') AS n_manual, (count(*) FILTER (WHERE source = 'manual') // 5 + 1) * 5 AS next_at FROM log")
+def correction_stats(spark, sf):
+    return layout.correction_stats(_log(spark, sf), 5)
+
+
+@_query(f"WITH {_LOG}, m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM log WHERE source = 'manual') SELECT doc_id, ord, CAST(n AS INTEGER) AS n FROM m WHERE n % 5 = 0")
+def retrain_points(spark, sf):
+    return layout.retrain_points(_log(spark, sf), 5)
+
+
+@_query("SELECT event_id, ts AS created_at FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def retention(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.col("ts").alias("created_at"))
+    return layout.expired(e, e.agg(F.max("created_at")).scalar(), 7)
+
+
+@_query("""WITH p AS (SELECT event_id // 50 AS group_id, (event_id * 53) % 900 AS pos FROM events),
+    f AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY group_id ORDER BY pos) < 12 THEN 0 ELSE 1 END AS new FROM p),
+    c AS (SELECT *, sum(new) OVER (PARTITION BY group_id ORDER BY pos) AS cluster FROM f)
+    SELECT group_id, CAST(cluster AS BIGINT) AS cluster, CAST(floor(avg(pos)) AS INTEGER) AS centre, count(*) AS n FROM c GROUP BY group_id, cluster""")
+def cluster_positions(spark, sf):
+    points = table(spark, sf, "events").select(F.floor(F.col("event_id") / 50).alias("group_id"), ((F.col("event_id") * 53) % 900).alias("pos"))
+    return layout.cluster_positions(points, 12)
+
+
+@_query("SELECT page_id, length(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS n_chars, md5(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS text_md5 FROM pages")
+def html_strip(spark, sf):
+    text = T.strip_tags("html")
+    return table(spark, sf, "pages").select("page_id", F.length(text).alias("n_chars"), F.md5(text.cast("binary")).alias("text_md5"))
+
+
+@_query()
+def html_to_blocks(spark, sf):
+    return html_blocks(table(spark, sf, "pages"))
+
+
+_CELL = "CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag || l_linestatus END"
+
+
+@_query(f"""WITH r AS (SELECT l_orderkey, [CAST(l_linenumber AS VARCHAR), {_CELL}, l_returnflag] AS row_ FROM lineitem),
+    c AS (SELECT l_orderkey, count(*) AS nrows, sum(len(row_)) AS cells, sum(len(list_filter(row_, lambda x: x <> ''))) AS filled, sum(len(list_filter(row_[1:2], lambda x: x <> ''))) AS lf FROM r GROUP BY l_orderkey)
+    SELECT l_orderkey, CAST(nrows AS INTEGER) AS nrows, 3 AS ncols, CAST(cells AS INTEGER) AS cells, CAST(filled AS INTEGER) AS filled, round(filled / cells, 6) AS fill, round(lf / (2 * nrows), 6) AS left_fill, true AS weak FROM c""")
+def table_quality(spark, sf):
+    row = F.concat_ws("\t", F.col("l_linenumber").cast("string"), F.expr(_CELL), "l_returnflag")
+    plain = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("plain"))
+    q = plain.select("l_orderkey", B.quality(B.grid_of(F.col("plain"))).alias("q"))
+    return q.select("l_orderkey", "q.nrows", "q.ncols", "q.cells", "q.filled", F.round("q.fill", 6).alias("fill"), F.round("q.left_fill", 6).alias("left_fill"), B.weak(F.col("q")).alias("weak"))
+
+
+@_query("""WITH c AS (SELECT l_orderkey AS table_id, l_linenumber - 1 AS r0, l_linenumber + CAST(l_quantity AS INTEGER) % 2 AS r1, CAST(l_suppkey % 3 AS INTEGER) AS c0, CAST(l_suppkey % 3 + 1 + l_partkey % 2 AS INTEGER) AS c1, CAST(l_partkey AS VARCHAR) AS text FROM lineitem),
+    s AS (SELECT table_id, text, r, unnest(range(c0, c1)) AS c FROM (SELECT *, unnest(range(r0, r1)) AS r FROM c)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY table_id, r, c ORDER BY length(text) DESC, text DESC) AS n FROM s)
+    SELECT table_id, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, text FROM k WHERE n = 1""")
+def span_paint(spark, sf):
+    cells = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey table_id", "l_linenumber - 1 r0", "l_linenumber + cast(l_quantity as int) % 2 r1", "cast(l_suppkey % 3 as int) c0", "cast(l_suppkey % 3 + 1 + l_partkey % 2 as int) c1", "cast(l_partkey as string) text")
+    return layout.paint_spans(cells)
+
+
+@_query(f"WITH {_LINES} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY ln) AS text FROM lines WHERE regexp_replace(text, '{_WS}+', '', 'g') <> '' GROUP BY doc_id")
+def doc_text(spark, sf):
+    return layout.document_text(_lines(spark, sf))
+
+
+@_query()
+def html_export(spark, sf):
+    return export.to_html(_lines(spark, sf))
+
+
+@_query()
+def script_runs(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(T.script_runs("text")).alias("run", "text"))
+
+
+@_query("SELECT doc_id, CASE WHEN lang = 'th' THEN 'thai' ELSE 'multilingual' END AS engine, CASE WHEN doc_id % 2 = 0 THEN 'tesseract' WHEN lang = 'th' THEN 'thai' ELSE 'multilingual' END AS asked FROM documents")
+def language_route(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.route_engine(F.lit("auto"), "lang").alias("engine"), T.route_engine(F.when(F.col("doc_id") % 2 == 0, "Tesseract").otherwise("auto"), "lang").alias("asked"))
+
+
+@_query("SELECT l.quality, d.lang, count(*) AS n, CAST(sum(length(d.text)) AS BIGINT) AS n_chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY l.quality, d.lang")
+def quality_join(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").groupBy("quality", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@_query(f"""WITH {_LINES}, p AS (SELECT doc_id, page, sum(length(text)) >= 400 AS reliable FROM lines GROUP BY doc_id, page)
+    SELECT doc_id, CAST(page AS INTEGER) AS page, reliable, count(*) FILTER (WHERE reliable) OVER (PARTITION BY doc_id) >= greatest(1, (count(*) OVER (PARTITION BY doc_id) + 1) // 2) AND reliable AS use_layer FROM p""")
+def text_layer_vote(spark, sf):
+    pages = _lines(spark, sf).groupBy("doc_id", "page").agg((F.sum(F.length("text")) >= 400).alias("reliable"))
+    return layout.choose_text_layer(pages)
+
+
+@_query(f"""WITH {_REGIONS}, s AS (SELECT ord, (x0 - 0) / 1020 AS l, (1020 - x1) / 1020 AS r, round_even(x0 / 8, 0) * 8 AS snapped FROM regions)
+    SELECT ord, CASE WHEN l > 0.08 AND r > 0.08 AND abs(l - r) < 0.08 THEN 'CENTER' WHEN r < 0.03 AND l > 0.15 THEN 'RIGHT' ELSE 'LEFT' END AS alignment, snapped FROM s""")
+def line_alignment(spark, sf):
+    page = G.box(*map(F.lit, (0.0, 0.0, 1020.0, 1000.0)))
+    return _regions(spark, sf).select("ord", G.alignment(F.col("box"), page).alias("alignment"), G.snapped(F.col("box.x0"), 8).alias("snapped"))
+
+
+@_query("""SELECT page_id, CASE WHEN s = '' THEN 'unnamed' ELSE s END AS file_name, regexp_replace(url, '[^A-Za-z0-9_-]', '', 'g') AS component FROM (
+    SELECT page_id, url, substr(regexp_replace(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]', '_', 'g'), '\\.\\.+', '.', 'g'), '^\\.+', ''), 1, 100) AS s FROM pages)""")
+def safe_names(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.sanitize_filename("url").alias("file_name"), T.sanitize_component("url").alias("component"))
+
+
+@_query("""WITH w AS (SELECT event_id // 500 AS doc_id, event_id % 20 AS line_num, event_id AS ord, event_type AS text, event_id % 101 - 1 AS conf FROM events)
+    SELECT doc_id, line_num, string_agg(text, ' ' ORDER BY ord) AS text, round(avg(conf) / 100, 6) AS conf FROM w WHERE conf >= 0 GROUP BY doc_id, line_num""")
+def word_lines(spark, sf):
+    words = table(spark, sf, "events").select(F.floor(F.col("event_id") / 500).alias("doc_id"), (F.col("event_id") % 20).alias("line_num"), F.col("event_id").alias("ord"), F.col("event_type").alias("text"), (F.col("event_id") % 101 - 1).alias("conf"))
+    return layout.words_to_lines(words).withColumn("conf", F.round("conf", 6))
+
+
+@_query()
+def segments_to_lines(spark, sf):
+    r = _regions(spark, sf).select("doc_id", "page", F.col("class").alias("text"), F.col("confidence").alias("conf"), "box")
+    return _flat(layout.segments_to_lines(r))
+
+
+@_query()
+def softwrap_merge(spark, sf):
+    return layout.merge_softwraps(_lines(spark, sf))
+
+
+@_query("""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), ' +'), lambda x: x <> '')) AS w FROM conversations),
+    p AS (SELECT a.conv_id, a.turn, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+    SELECT conv_id, turn, round(CASE WHEN n > i THEN i / (n - i) ELSE 0.0 END, 6) AS jaccard FROM p""")
+def turn_similarity(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.token_jaccard("text", "next_text"), 6).alias("jaccard"))
