@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,10 +104,10 @@ def bloom_filter(keys: DataFrame, key: str, blocks: int) -> Column:
     """
     h = F.col(key)
     filled = keys.where(h.isNotNull()).groupBy(_bloom_block(h, blocks).alias("b")).agg(F.bit_or(_bloom_mask(h)).alias("w"))
-    words = ["0"] * blocks
+    words = np.zeros(blocks, np.int64)
     for b, w in filled.collect():
-        words[b] = str(w)
-    return F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
+        words[b] = w
+    return F.lit(words)
 
 
 def bloom_may_contain(words: Column, h: Column, blocks: int) -> Column:
