@@ -18,8 +18,14 @@ from vellumspark.llm.components import components
 #: each chunk in turn enumerates all such chunks.
 CHUNKS, ROWS = 12, 4
 SIZE, RADIUS = CHUNKS * ROWS, 2 * CHUNKS - 1
-#: Rows of a bucket, or members of a leader, that meet in one unit of work.
-BLOCK = 512
+#: Bins of the sketch that goes with a signature: in each, one byte of the set's least hash there (0: none).
+BINS = 512
+#: 16-bit places of a signature with its set's size and its sketch.
+WIDE = SIZE + 2 + BINS // 2
+#: Standard deviations that a sketch may fall short of a link's similarity (chance of about 3 in 100,000).
+SPREAD = 4.0
+#: Members of a leader, and rows of a bucket, that meet in one unit of work.
+BLOCK, ROWS_BLOCK = 512, 2048
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
@@ -37,8 +43,38 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return out.reshape(n, SIZE).view(np.int64)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """BINS bytes of a set's sorted hashes."""
+    at = (hashes >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    out = np.zeros(BINS, np.uint8)
+    out[at[first]] = hashes[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def wide(hashes: np.ndarray) -> bytes:
+    return shingles.signature(hashes, SIZE).tobytes() + np.uint32(len(hashes)).tobytes() + sketch(hashes)
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """For rows (n, WIDE) or one row against them: may they link?
+
+    Sets of too unequal sizes can't link. Each bin that is not empty in both is a draw, without replacement, from the
+    union of the two sets, and both bytes are equal if it is from the intersection; so the share of equal bins is that of
+    a hypergeometric sample, nearly exact for short texts.
+    """
+    a, b = (np.ascontiguousarray(np.atleast_2d(x)[:, SIZE:]).view(np.uint8) for x in (a, b))
+    n, m = (x[:, :4].copy().view(np.uint32).ravel().astype(np.float64) for x in (a, b))
+    a, b = a[:, 4:], b[:, 4:]
+    used = ((a | b) != 0).sum(axis=1)
+    same = ((a == b) & (a != 0)).sum(axis=1)
+    p = percent / 100
+    sd = np.sqrt(p * (1 - p) / used * np.maximum(0, 1 - used * (1 + p) / (n + m)))
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (same + 1 >= (p - SPREAD * sd) * used)
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """key, n (shingles), set_id (16 bytes that equal sets share), sig (SIZE x 16 bits; null for an empty set)."""
+    """key, n (shingles), set_id (16 bytes that equal sets share), sig (WIDE x 16 bits; null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -49,7 +85,7 @@ def sign(docs: DataFrame) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 if text not in memo:
                     s = shingles.shingle_set(text)
-                    memo[text] = (len(s), xxhash.xxh128_digest(s.tobytes()), shingles.signature(s, SIZE).tobytes()) if len(s) else (0, None, None)
+                    memo[text] = (len(s), xxhash.xxh128_digest(s.tobytes()), wide(s)) if len(s) else (0, None, None)
                 a, b, c = memo[text]
                 n.append(a)
                 ids.append(b)
@@ -65,17 +101,13 @@ def _keys(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SIZE)
-                keys = chunk_keys(sig)
+                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, WIDE)
+                keys = chunk_keys(sig[:, :SIZE])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), SIZE))], names=["k", "rep"])
 
     return reps.select("rep", "sig").mapInArrow(run, "k long, rep long")
 
 
-def _near(a: bytes, others: np.ndarray) -> np.ndarray:
-    return (others != np.frombuffer(a, np.uint16)).sum(axis=1) <= RADIUS
-
-
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.
 
@@ -104,14 +136,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _rest(keys: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
+def _rest(keys: DataFrame, reps: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (a < b) of the same bucket in different components, as far as known, within the radius.
 
     Only buckets that hold two components are looked into. A large bucket is cut into blocks and each pair of blocks is
-    a unit of work. Rows of the component that is most frequent in a unit are not held against each other.
+    a unit of work. Rows of the component that is most frequent in a unit are not held against each other, and a pair
+    counts only in the first of its buckets.
     """
     named = keys.join(comp, F.col("rep") == F.col("vertex"), "left").select("k", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = named.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    mixed = named.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("k", F.ceil(F.col("size") / ROWS_BLOCK).cast("int").alias("blocks"))
     rows = named.join(mixed, "k").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     rows = rows.withColumn("other", F.explode(others)).select(
@@ -122,7 +155,10 @@ def _rest(keys: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
 
     def pairs_of(part: dict) -> tuple[np.ndarray, np.ndarray]:
         rep, comp = np.array(part["rep"]), np.array(part["comp"])
-        sig = np.frombuffer(b"".join(part["sig"]), np.uint16).reshape(-1, SIZE)
+        both = np.frombuffer(b"".join(part["sig"]), np.uint16).reshape(-1, WIDE)
+        sig = np.ascontiguousarray(both[:, :SIZE])
+        keys = chunk_keys(sig)
+        place = int(np.flatnonzero(keys[0] == part["k"][0])[0])
         own, first = part["own"][0], np.array(part["first"])
         values, counts = np.unique(comp, return_counts=True)
         common = values[counts.argmax()]
@@ -132,10 +168,14 @@ def _rest(keys: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
             if not own:
                 ok &= first != first[i]
             j = np.flatnonzero(ok)
+            j = j[~(keys[j, :place] == keys[i, :place]).any(axis=1)]
+            if len(j):
+                j = j[alike(both[j], both[i], percent)]
             found_a.append(np.minimum(rep[i], rep[j]))
             found_b.append(np.maximum(rep[i], rep[j]))
         none = np.zeros(0, np.int64)
-        return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+        a, b = np.unique(np.stack([np.concatenate([none, *found_a]), np.concatenate([none, *found_b])]), axis=1)
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = None, None
@@ -159,7 +199,7 @@ def _rest(keys: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
                         held += len(a)
                         if held > 100_000:
                             yield flush()
-                    at, part = unit, {c: [] for c in ("first", "own", "rep", "comp", "sig")}
+                    at, part = unit, {c: [] for c in ("k", "first", "own", "rep", "comp", "sig")}
                 for c, values in part.items():
                     values.append(row[c])
         if part and len(part["rep"]) > 1:
@@ -168,7 +208,7 @@ def _rest(keys: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
             out_b.append(b)
         yield flush()
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -179,10 +219,10 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     and even then mostly shares a chunk key); each link is confirmed on the full sets.
 
     1. Equal sets are one representative. 2. In each bucket of a chunk key, the least representative is held against
-    the others: as many pairs as rows, and a group of copies, however large, is joined by them. 3. Pairs of a bucket
-    that are still in different components are searched in blocks and confirmed as well; pairs already in one component
-    need no check, as a link could add nothing. So no link between different components is lost and no group is
-    expanded into all its pairs.
+    the others: as many pairs as rows, and a group of copies, however large, is joined by them. 3. Pairs of a bucket that
+    are still in different components are searched in blocks and confirmed as well; pairs already in one component need
+    no check, as a link could add nothing. So no link between different components is lost and no group is expanded into
+    all its pairs. Set sizes and sketches (see alike) spare most of the full comparisons.
 
     Null or empty text, or one without words: an empty set, linked with nothing. Null key: component null, kept, linked
     with nothing. Rows with an equal key are one vertex. An empty table gives no rows. Extra columns are ignored.
@@ -200,16 +240,15 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     firsts = keys.groupBy("k").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1").select("k", "a")
     keys = cut(keys.join(firsts, "k").select("k", "rep", "a"))
     stars = keys.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    sigs = reps.select(F.col("rep").alias("of"), "sig")
+    sigs = reps.select(F.col("rep").alias("of"), F.substring("sig", 1, 2 * SIZE + 4).alias("sig"))  # without the sketch
     stars = stars.join(sigs.withColumnRenamed("sig", "sig_a"), F.col("a") == F.col("of")).drop("of").join(sigs.withColumnRenamed("sig", "sig_b"), F.col("b") == F.col("of")).drop("of")
-    stars = cut(_within(stars))
+    stars = cut(_within(stars, percent))
     wanted = stars.select(F.col("a").alias("r")).unionByName(stars.select(F.col("b").alias("r"))).distinct()
     links = cut(_verify(stars, _texts(source, reps, wanted), percent))
-    comp = components(links)
-    rest = cut(_rest(keys.select("k", "rep"), reps, comp).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = cut(_rest(keys.select("k", "rep"), reps, components(links), percent).join(tried, ["a", "b"], "left_anti"))
     wanted = rest.select(F.col("a").alias("r")).unionByName(rest.select(F.col("b").alias("r"))).distinct()
-    more = _verify(rest, _texts(source, reps, wanted), percent)
-    links = links.unionByName(more)
+    links = links.unionByName(_verify(rest, _texts(source, reps, wanted), percent))
 
     vertex = reps.select(F.col("rep").alias("of"), "vertex")
     named = links.join(vertex.withColumnsRenamed({"of": "of_u", "vertex": "vu"}), F.col("u") == F.col("of_u")).join(vertex.withColumnsRenamed({"of": "of_v", "vertex": "vv"}), F.col("v") == F.col("of_v"))
@@ -220,12 +259,15 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
 
-def _within(pairs: DataFrame) -> DataFrame:
+def _within(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) within the radius whose sets are not too unequal in size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SIZE) for i in (2, 3))
-                ok = pa.array((a != b).sum(axis=1) <= RADIUS)
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SIZE + 2) for i in (2, 3))
+                n, m = (x[:, SIZE:].copy().view(np.uint32).ravel().astype(np.int64) for x in (a, b))
+                ok = pa.array(((a[:, :SIZE] != b[:, :SIZE]).sum(axis=1) <= RADIUS) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
                 yield batch.select(["a", "b"]).filter(ok)
 
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")

@@ -6,7 +6,7 @@ import numpy as np
 
 WORDS = 5
 _P = np.uint64(0x9E3779B97F4A7C15)
-_MEMO = 1 << 20
+_MEMO = 1 << 18
 
 
 class WordHashes(dict):
