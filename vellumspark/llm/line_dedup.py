@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm import shingles
+from vellumspark.llm import wordspans
 from vellumspark.llm.common import bloom_blocks, bloom_filter, bloom_may_contain, cut, fresh, ship
+from vellumspark.llm.shingles import mix
 
 #: Runs of so many words are passages.
 MIN_WORDS = 50
@@ -21,60 +21,65 @@ GRAM, WINDOW = 4, 7
 LONGEST = 16
 #: Documents that meet one earlier document in one unit of work.
 BLOCK = 128
+#: Position of the fingerprint of all words of a document.
+WHOLE = -1
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_END = frozenset(b".!?:;,")
+_P = np.uint64(0x9E3779B97F4A7C15)
+_END = wordspans.among(b".!?:;,")
+_BREAK = wordspans.among(b"\n\r\x0b\x0c")
 
 
-def words_of(text: str) -> tuple[list[tuple[int, int]], np.ndarray, bytes]:
-    """Byte spans of the words, their hashes (case counts), and the bytes."""
-    raw = text.encode("utf-8", "surrogatepass")
-    spans = [m.span() for m in _WORD.finditer(raw)]
-    return spans, hashes_of(raw), raw
-
-
-def hashes_of(raw: bytes) -> np.ndarray:
-    words = raw.split()
-    return np.fromiter(map(shingles.hashes.__getitem__, words), np.uint64, len(words))
-
-
-def fingerprints(text: str, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, word position) of the winnowed fingerprints of a text.
+def fingerprints(raw: np.ndarray, bounds: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, hash, word position) of the winnowed fingerprints of the texts that bounds cuts raw into.
 
     A line ends at a line break, at a mark of punctuation, and at every word whose hash says so (one in four), so that
     lines inside a passage are the same wherever it stands, also amid other text. Each window of WINDOW fingerprints of
-    GRAM lines keeps its least one: a repeated run of WINDOW + GRAM - 1 whole lines always shares one.
+    GRAM lines keeps its least one: a repeated run of WINDOW + GRAM - 1 whole lines always shares one. Besides, each text
+    has one of all its words, at position WHOLE. Texts under min_words words have none.
     """
+    begin, end, w, first = wordspans.scan(raw, bounds)
+    counts = np.diff(first)
+    long = counts >= min_words
     none = np.zeros(0, np.int64)
-    raw = text.encode("utf-8", "surrogatepass")
-    w = hashes_of(raw)
+    if not long.any():
+        return none, none, none
+    ends = (mix(w) & np.uint64(3)) == 0
+    ends |= _END[raw[end - 1]]
+    breaks = np.searchsorted(end, np.flatnonzero(_BREAK[raw]), "right") - 1
+    ends[breaks[breaks >= 0]] = True
+    ends[first[1:][counts > 0] - 1] = True
+    mine = np.repeat(long, counts)
+    w, ends = w[mine], ends[mine]
+    number, counts = np.flatnonzero(long), counts[long]
+    of = np.cumsum(counts) - counts  # first word of each text
     n = len(w)
-    if n < min_words:
-        return none, none
-    ends = (shingles.mix(w) & np.uint64(3)) == 0
-    lines = [x.split() for x in re.split(rb"[\n\r\x0b\x0c]", raw)]
-    ends[np.cumsum([len(x) for x in lines if x]) - 1] = True
-    ends |= np.fromiter((x[-1] in _END for line in lines for x in line), bool, n)
+
     stops = np.flatnonzero(ends)
-    starts = np.r_[0, stops[:-1] + 1] if len(stops) else np.zeros(1, np.int64)
-    sizes = np.diff(np.r_[starts, n])
-    if sizes.max() > LONGEST:
-        starts = np.concatenate([np.arange(a, a + s, LONGEST) for a, s in zip(starts, sizes, strict=True)])
-    with np.errstate(over="ignore"):
-        position = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
-        line = shingles.mix(np.add.reduceat(shingles.mix(w + position.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts))
-        m = len(line) - GRAM + 1
-        if m < 1:
-            return none, none
-        h = np.full(m, 7, np.uint64)
-        for i in range(GRAM):
-            h = shingles.mix(h * np.uint64(0x9E3779B97F4A7C15) + line[i : i + m])
-    if m <= WINDOW:
-        picked = np.array([h.argmin()])
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-        picked = np.unique(view.argmin(1) + np.arange(len(view)))
-    return h[picked].view(np.int64), starts[picked]
+    starts = np.r_[0, stops[:-1] + 1]
+    parts = -(-np.diff(np.r_[starts, n]) // LONGEST)
+    starts = np.repeat(starts, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    position = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
+    line = mix(np.add.reduceat(mix(w + position.astype(np.uint64) * _P), starts))
+    inside = np.arange(n) - np.repeat(of, counts)
+    whole = mix(np.add.reduceat(mix(w + inside.astype(np.uint64) * _P), of) ^ _P)
+
+    m = max(0, len(line) - GRAM + 1)
+    h = np.full(m, 7, np.uint64)
+    for i in range(GRAM):
+        h = mix(h * _P + line[i : i + m])
+    at = np.searchsorted(of, starts, "right") - 1  # text of each line
+    grams = np.flatnonzero(at[:m] == at[GRAM - 1 :])
+    h, text = h[grams], at[grams]
+    size = np.bincount(text, minlength=len(of))
+    last = np.repeat(np.cumsum(size) - 1, size)
+    j = np.arange(len(h))
+    j = j[(j + WINDOW - 1 <= last) | (j == last - (size - 1)[text])]
+    window = np.minimum(j[:, None] + np.arange(WINDOW), last[j][:, None])
+    least = np.zeros(len(h), bool)
+    least[window[np.arange(len(j)), h[window].argmin(1)]] = True
+    picked = np.flatnonzero(least)
+    place = starts[grams[picked]] - of[text[picked]]
+    return np.r_[number[text[picked]], number], np.r_[h[picked], whole].view(np.int64), np.r_[place, np.full(len(number), WHOLE)]
 
 
 def _reach(a: np.ndarray, b: np.ndarray) -> int:
@@ -104,22 +109,20 @@ def runs(mine: np.ndarray, first: np.ndarray, anchors: list[tuple[int, int]], mi
     return out
 
 
-def without(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the words of the ranges and the white space behind them; how many words went."""
-    spans, _, raw = words_of(text)
-    drop = np.zeros(len(spans), bool)
+def without(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, ranges: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the words (at begin to end of raw) of the ranges and the white space behind them; how many went."""
+    n = len(begin)
+    drop = np.zeros(n, bool)
     for a, b in ranges:
-        drop[a:b] = True
-    if not drop.any():
-        return text, 0
+        drop[max(0, a) : b] = True
     if drop.all():
-        return "", len(spans)
+        return "", n
     out, at = [], 0
     edges = np.flatnonzero(np.diff(np.r_[False, drop, False].astype(np.int8)))
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        out.append(raw[at : spans[a][0]])
-        at = spans[b][0] if b < len(spans) else len(raw)
-    out.append(raw[at:])
+        out.append(raw[at : begin[a]].tobytes())
+        at = begin[b] if b < n else len(raw)
+    out.append(raw[at:].tobytes())
     return b"".join(out).decode("utf-8", "surrogatepass"), int(drop.sum())
 
 
@@ -129,7 +132,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     Documents are in order of key, then of a checksum of the text. Of each run of at least `min_words` words that stands
     in an earlier document, or earlier in the same one, only the first stays. Each fingerprint's first position is held
     against its later ones, equality is extended word by word both ways, and runs that are long enough go. Pairs are as
-    many as later fingerprints; a passage that very many documents share is one leader with blocks of followers.
+    many as later fingerprints; a passage that very many documents share is one leader with blocks of followers. A
+    document with just the words of an earlier one goes as a whole, by its fingerprint of all words.
 
     Null text stays null and counts no words; empty text, and texts under `min_words` words, stay as they are. Null keys
     come first. Rows of equal key and text are one document: they are treated alike. A text that goes as a whole becomes
@@ -143,19 +147,20 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                got = [fingerprints(t or "", min_words) for t in part.column(2).to_pylist()]
-                n = [len(h) for h, _ in got]
-                cols = [np.repeat(part.column(c).to_numpy(), n) for c in (0, 1)]
-                none = np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *(h for h, _ in got)])), *map(pa.array, cols), pa.array(np.concatenate([none, *(p for _, p in got)]))], names=["h", "k", "t", "pos"])
+            keys, hashes = (batch.column(c).to_numpy() for c in (0, 1))
+            for i, raw, bounds in wordspans.pieces(batch.column(2)):
+                at, h, pos = fingerprints(raw, bounds, min_words)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (h, keys[i + at], hashes[i + at], pos))], names=["h", "k", "t", "pos"])
 
     prints = base.select(k0, th, body).mapInArrow(mark, "h long, k long, t long, pos long").persist()
     firsts = prints.groupBy("h").agg(F.min(F.struct("k", "t", "pos")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "f.*").toDF("h", "fk", "ft", "fpos")
     later = prints.join(firsts, "h").where("not (k = fk and t = ft and pos = fpos)")
-    pairs = cut(later.groupBy("k", "t", "fk", "ft").agg(F.collect_set(F.struct("pos", "fpos")).alias("anchors")))
+    anchor = F.when(F.col("pos") != WHOLE, F.struct("fk", "ft", "pos", "fpos"))
+    repeats = cut(later.groupBy("k", "t").agg(F.max(F.col("pos") == WHOLE).alias("copy"), F.collect_set(anchor).alias("anchors")))
     prints.unpersist()
+    copies = repeats.where("copy").select("k", "t", F.lit(0).cast("long").alias("a"), F.lit(2**62).alias("b"))
+    pairs = repeats.where("not copy").select("k", "t", F.explode("anchors").alias("x")).groupBy("k", "t", "x.fk", "x.ft").agg(F.collect_list(F.struct("x.pos", "x.fpos")).alias("anchors"))
+    pairs = cut(pairs)
 
     sizes = pairs.groupBy("fk", "ft").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("units"))
     members = pairs.join(sizes, ["fk", "ft"]).withColumn("unit", F.pmod(F.xxhash64("k", "t"), F.col("units")).cast("int"))
@@ -175,18 +180,22 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.zeros(0, np.uint64)
         for batch in batches:
-            out: list = [[], [], [], []]
-            for row in batch.select(["follows", "k", "t", "anchors", "body"]).to_pylist():
-                own = hashes_of((row["body"] or "").encode("utf-8", "surrogatepass"))
-                if not row["follows"]:
-                    first = own
-                    continue
-                for a, b in runs(own, first, [(x["pos"], x["fpos"]) for x in row["anchors"]], min_words):
-                    for c, v in zip(out, (row["k"], row["t"], a, b), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["k", "t", "a", "b"])
-
-    found = rows.mapInArrow(match, "k long, t long, a long, b long").groupBy("k", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+            follows, ks, ts, anchors = (batch.column(c) for c in ("follows", "k", "t", "anchors"))
+            for i, raw, bounds in wordspans.pieces(batch.column("body")):
+                _, _, hashes, at = wordspans.scan(raw, bounds)
+                out: list = [[], [], [], []]
+                for n in range(len(at) - 1):
+                    own = hashes[at[n] : at[n + 1]]
+                    if not follows[i + n].as_py():
+                        first = own.copy()
+                        continue
+                    both = anchors[i + n].values.flatten()
+                    for a, b in runs(own, first, list(zip(*(x.to_pylist() for x in both), strict=True)), min_words):
+                        for c, v in zip(out, (ks[i + n].as_py(), ts[i + n].as_py(), a, b), strict=True):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["k", "t", "a", "b"])
+
+    found = rows.mapInArrow(match, "k long, t long, a long, b long").unionByName(copies).groupBy("k", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     found = cut(found)
     n = found.count()
     blocks = bloom_blocks(n)
@@ -200,13 +209,18 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, total, gone = [], [], []
-            for t, ranges in zip(batch.column(body).to_pylist(), batch.column(spans).to_pylist(), strict=True):
-                total.append(len((t or "").encode("utf-8", "surrogatepass").split()))
-                t, k = without(t, [(x["a"], x["b"]) for x in ranges]) if ranges else (t, 0)
-                left.append(t)
-                gone.append(k)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(left, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, text, "n_words", "removed_words"])
+            for i, raw, bounds in wordspans.pieces(batch.column(body)):
+                part = batch.slice(i, len(bounds) - 1)
+                begin, end, _, at = wordspans.scan(raw, bounds, hashed=False)
+                texts, ranges = part.column(body), part.column(spans)
+                gone = np.zeros(len(texts), np.int64)
+                if hits := np.flatnonzero(ranges.is_valid()).tolist():
+                    left = texts.to_pylist()
+                    for n in hits:
+                        of, to = bounds[n], slice(at[n], at[n + 1])
+                        left[n], gone[n] = without(raw[of : bounds[n + 1]], begin[to] - of, end[to] - of, [(x["a"], x["b"]) for x in ranges[n].as_py()])
+                    texts = pa.array(left, pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), texts, pa.array(np.diff(at)), pa.array(gone)], names=[*kept, text, "n_words", "removed_words"])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), f"`{text}` string", "n_words long", "removed_words long"])
     return both.mapInArrow(remove, fields)
