@@ -136,9 +136,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _rest(keys: DataFrame, reps: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+def _rest(keys: DataFrame, reps: DataFrame, comp: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """Candidate pairs (a < b) of the same bucket in different components, as far as known, within the radius.
 
+    With `nearest`, not all of them: for each row, the one that differs in the fewest places, by signatures alone.
+
     Only buckets that hold two components are looked into. A large bucket is cut into blocks and each pair of blocks is
     a unit of work. Rows of the component that is most frequent in a unit are not held against each other, and a pair
     counts only in the first of its buckets.
@@ -150,65 +152,68 @@ def _rest(keys: DataFrame, reps: DataFrame, comp: DataFrame, percent: int) -> Da
     rows = rows.withColumn("other", F.explode(others)).select(
         "k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("first"), (F.col("block") == F.col("other")).alias("own"), "rep", "comp"
     )
-    sigs = reps.select(F.col("rep").alias("of"), "sig")
+    sigs = reps.select(F.col("rep").alias("of"), F.substring("sig", 1, 2 * SIZE + 4).alias("sig") if nearest else F.col("sig"))
     rows = rows.join(sigs, F.col("rep") == F.col("of")).select("k", "i", "j", "first", "own", "rep", "comp", "sig").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
 
-    def pairs_of(part: dict) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_of(part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rep, comp = np.array(part["rep"]), np.array(part["comp"])
-        both = np.frombuffer(b"".join(part["sig"]), np.uint16).reshape(-1, WIDE)
+        both = np.frombuffer(b"".join(part["sig"]), np.uint16).reshape(-1, SIZE + 2 if nearest else WIDE)
         sig = np.ascontiguousarray(both[:, :SIZE])
+        n = both[:, SIZE : SIZE + 2].copy().view(np.uint32).ravel().astype(np.int64)
         keys = chunk_keys(sig)
         place = int(np.flatnonzero(keys[0] == part["k"][0])[0])
         own, first = part["own"][0], np.array(part["first"])
         values, counts = np.unique(comp, return_counts=True)
         common = values[counts.argmax()]
-        found_a, found_b = [], []
+        found: list = [[np.zeros(0, np.int64)] for _ in range(3)]
         for i in np.flatnonzero(comp != common):
-            ok = (comp != comp[i]) & ((sig != sig[i]).sum(axis=1) <= RADIUS)
+            far = (sig != sig[i]).sum(axis=1)
+            ok = (comp != comp[i]) & (far <= RADIUS) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             if not own:
                 ok &= first != first[i]
             j = np.flatnonzero(ok)
-            j = j[~(keys[j, :place] == keys[i, :place]).any(axis=1)]
-            if len(j):
-                j = j[alike(both[j], both[i], percent)]
-            found_a.append(np.minimum(rep[i], rep[j]))
-            found_b.append(np.maximum(rep[i], rep[j]))
-        none = np.zeros(0, np.int64)
-        a, b = np.unique(np.stack([np.concatenate([none, *found_a]), np.concatenate([none, *found_b])]), axis=1)
-        return a, b
+            if nearest and len(j):
+                j = j[[far[j].argmin()]]
+            elif len(j):
+                j = j[~(keys[j, :place] == keys[i, :place]).any(axis=1)]
+                if len(j):
+                    j = j[alike(both[j], both[i], percent)]
+            for c, values in zip(found, (np.full(len(j), rep[i]), rep[j], far[j]), strict=True):
+                c.append(values)
+        a, b, far = map(np.concatenate, found)
+        if nearest:
+            return a, b, far
+        return (*np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1), np.zeros(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = None, None
-        out_a, out_b, held = [], [], 0
+        out: list = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal out_a, out_b, held
             none = np.zeros(0, np.int64)
-            a, b = np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
-            out_a, out_b, held = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b, far = (np.concatenate([none, *(x[c] for x in out)]) for c in range(3))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far if nearest else np.zeros(len(a), np.int64))], names=["a", "b", "far"])
 
         for batch in batches:
             for row in batch.to_pylist():
                 unit = row["k"], row["i"], row["j"]
                 if unit != at:
                     if part and len(part["rep"]) > 1:
-                        a, b = pairs_of(part)
-                        out_a.append(a)
-                        out_b.append(b)
-                        held += len(a)
-                        if held > 100_000:
+                        out.append(pairs_of(part))
+                        if sum(len(x[0]) for x in out[-100:]) > 100_000 or len(out) > 1000:
                             yield flush()
                     at, part = unit, {c: [] for c in ("k", "first", "own", "rep", "comp", "sig")}
                 for c, values in part.items():
                     values.append(row[c])
         if part and len(part["rep"]) > 1:
-            a, b = pairs_of(part)
-            out_a.append(a)
-            out_b.append(b)
+            out.append(pairs_of(part))
         yield flush()
 
-    return rows.mapInArrow(run, "a long, b long")
+    found = rows.mapInArrow(run, "a long, b long, far long")
+    if nearest:
+        found = found.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
+    return found.select("a", "b")
 
 
 def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -219,9 +224,10 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     and even then mostly shares a chunk key); each link is confirmed on the full sets.
 
     1. Equal sets are one representative. 2. In each bucket of a chunk key, the least representative is held against
-    the others: as many pairs as rows, and a group of copies, however large, is joined by them. 3. Pairs of a bucket that
-    are still in different components are searched in blocks and confirmed as well; pairs already in one component need
-    no check, as a link could add nothing. So no link between different components is lost and no group is expanded into
+    the others: as many pairs as rows, and a group of copies, however large, is joined by them. 3. Each row of a bucket of
+    several components is held against its nearest one of another component, which joins most of what is left, again
+    with as many pairs as rows at most. 4. All pairs of a bucket that are still in different components are searched in
+    blocks and confirmed as well; pairs already in one component need no check, as a link could add nothing. So no link between different components is lost and no group is expanded into
     all its pairs. Set sizes and sketches (see alike) spare most of the full comparisons.
 
     Null or empty text, or one without words: an empty set, linked with nothing. Null key: component null, kept, linked
@@ -246,9 +252,13 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     wanted = stars.select(F.col("a").alias("r")).unionByName(stars.select(F.col("b").alias("r"))).distinct()
     links = cut(_verify(stars, _texts(source, reps, wanted), percent))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(_rest(keys.select("k", "rep"), reps, components(links), percent).join(tried, ["a", "b"], "left_anti"))
-    wanted = rest.select(F.col("a").alias("r")).unionByName(rest.select(F.col("b").alias("r"))).distinct()
-    links = links.unionByName(_verify(rest, _texts(source, reps, wanted), percent))
+    keys = keys.select("k", "rep")
+    for nearest in (True, False):
+        rest = _rest(keys, reps, components(links), percent, nearest)
+        rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
+        wanted = rest.select(F.col("a").alias("r")).unionByName(rest.select(F.col("b").alias("r"))).distinct()
+        links = cut(links.unionByName(_verify(rest, _texts(source, reps, wanted), percent)))
+        tried = tried.unionByName(rest)
 
     vertex = reps.select(F.col("rep").alias("of"), "vertex")
     named = links.join(vertex.withColumnsRenamed({"of": "of_u", "vertex": "vu"}), F.col("u") == F.col("of_u")).join(vertex.withColumnsRenamed({"of": "of_v", "vertex": "vv"}), F.col("v") == F.col("of_v"))
