@@ -183,3 +183,13 @@ def test_stages_take_effect(spark):
     assert not brute_leaks([(r.doc_id, r.text) for r in docs.collect()], items)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
     assert packed.doc_id.nunique() == docs.count()
+
+
+def test_every_passage_of_50_words_shares_a_fingerprint():
+    rng = random.Random(12)
+    for n in (50, 51, 55):
+        for _ in range(150):
+            passage = words(rng, n)
+            texts = [" ".join(words(rng, rng.randint(0, 40)) + passage + words(rng, rng.randint(0, 40))).encode() for _ in range(2)]
+            at, h, _ = line_dedup.fingerprints(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+            assert set(h[at == 0]) & set(h[at == 1])

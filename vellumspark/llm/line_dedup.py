@@ -1,4 +1,4 @@
-"""Removal of repeated passages by winnowing over line hashes."""
+"""Removal of repeated passages by winnowing over hashes of word runs."""
 
 from __future__ import annotations
 
@@ -15,71 +15,60 @@ from vellumspark.llm.shingles import mix
 
 #: Runs of so many words are passages.
 MIN_WORDS = 50
-#: Line hashes in a fingerprint, and fingerprints in a window, of which the least is kept.
-GRAM, WINDOW = 4, 7
-#: A line that does not end by itself ends after so many words.
-LONGEST = 16
 #: Documents that meet one earlier document in one unit of work.
 BLOCK = 128
 #: Position of the fingerprint of all words of a document.
 WHOLE = -1
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_END = wordspans.among(b".!?:;,")
-_BREAK = wordspans.among(b"\n\r\x0b\x0c")
+
+
+def gram(min_words: int) -> int:
+    """Words of a fingerprint: a passage of min_words words holds min_words - gram + 1 of them, one of which is kept."""
+    return min_words // 2 + 1
+
+
+def least_grams(w: np.ndarray, min_words: int) -> np.ndarray:
+    """For each run of min_words neighbours among the words' hashes, where its least fingerprint begins (ties: the first).
+
+    Which fingerprint of a passage that is depends on the passage's own words only.
+    """
+    h = wordspans.grams(w, gram(min_words))
+    at, span, width = np.arange(len(h)), min_words - gram(min_words) + 1, 1
+    while width < span:
+        step = min(width, span - width)
+        later = h[step:] < h[:-step]
+        at, h = np.where(later, at[step:], at[:-step]), np.minimum(h[step:], h[:-step])
+        width += step
+    return at
 
 
 def fingerprints(raw: np.ndarray, bounds: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, hash, word position) of the winnowed fingerprints of the texts that bounds cuts raw into.
 
-    A line ends at a line break, at a mark of punctuation, and at every word whose hash says so (one in four), so that
-    lines inside a passage are the same wherever it stands, also amid other text. Each window of WINDOW fingerprints of
-    GRAM lines keeps its least one: a repeated run of WINDOW + GRAM - 1 whole lines always shares one. Besides, each text
-    has one of all its words, at position WHOLE. Texts under min_words words have none.
+    A fingerprint is the hash of gram(min_words) words. Of those in each passage of min_words words the least is kept, so
+    that equal passages, wherever they stand, always share one. Besides, each text has one of all its words, at position
+    WHOLE. Texts under min_words words have none.
     """
-    begin, end, w, first = wordspans.scan(raw, bounds)
+    _, _, w, first = wordspans.scan(raw, bounds)
     counts = np.diff(first)
     long = counts >= min_words
     none = np.zeros(0, np.int64)
     if not long.any():
         return none, none, none
-    ends = (mix(w) & np.uint64(3)) == 0
-    ends |= _END[raw[end - 1]]
-    breaks = np.searchsorted(end, np.flatnonzero(_BREAK[raw]), "right") - 1
-    ends[breaks[breaks >= 0]] = True
-    ends[first[1:][counts > 0] - 1] = True
-    mine = np.repeat(long, counts)
-    w, ends = w[mine], ends[mine]
+    w = w[np.repeat(long, counts)]
     number, counts = np.flatnonzero(long), counts[long]
     of = np.cumsum(counts) - counts  # first word of each text
-    n = len(w)
-
-    stops = np.flatnonzero(ends)
-    starts = np.r_[0, stops[:-1] + 1]
-    parts = -(-np.diff(np.r_[starts, n]) // LONGEST)
-    starts = np.repeat(starts, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    position = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
-    line = mix(np.add.reduceat(mix(w + position.astype(np.uint64) * _P), starts))
-    inside = np.arange(n) - np.repeat(of, counts)
+    inside = np.arange(len(w)) - np.repeat(of, counts)
     whole = mix(np.add.reduceat(mix(w + inside.astype(np.uint64) * _P), of) ^ _P)
 
-    m = max(0, len(line) - GRAM + 1)
-    h = np.full(m, 7, np.uint64)
-    for i in range(GRAM):
-        h = mix(h * _P + line[i : i + m])
-    at = np.searchsorted(of, starts, "right") - 1  # text of each line
-    grams = np.flatnonzero(at[:m] == at[GRAM - 1 :])
-    h, text = h[grams], at[grams]
-    size = np.bincount(text, minlength=len(of))
-    last = np.repeat(np.cumsum(size) - 1, size)
-    j = np.arange(len(h))
-    j = j[(j + WINDOW - 1 <= last) | (j == last - (size - 1)[text])]
-    window = np.minimum(j[:, None] + np.arange(WINDOW), last[j][:, None])
-    least = np.zeros(len(h), bool)
-    least[window[np.arange(len(j)), h[window].argmin(1)]] = True
-    picked = np.flatnonzero(least)
-    place = starts[grams[picked]] - of[text[picked]]
-    return np.r_[number[text[picked]], number], np.r_[h[picked], whole].view(np.int64), np.r_[place, np.full(len(number), WHOLE)]
+    least = least_grams(w, min_words)
+    fits = inside + min_words <= np.repeat(counts, counts)  # passages that end in their text
+    picked = least[fits[: len(least)]]
+    picked = picked[np.r_[True, picked[1:] != picked[:-1]]]
+    text = np.searchsorted(of, picked, "right") - 1
+    h = wordspans.grams(w, gram(min_words))[picked]
+    return np.r_[number[text], number], np.r_[h, whole].view(np.int64), np.r_[picked - of[text], np.full(len(number), WHOLE)]
 
 
 def _reach(a: np.ndarray, b: np.ndarray) -> int:

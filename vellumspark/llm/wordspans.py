@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from vellumspark.llm.shingles import mix
+
 #: Bytes of texts that are worked on together; one longer text goes by itself.
 PIECE = 1 << 16
 
@@ -59,6 +61,17 @@ def scan(raw: np.ndarray, bounds: np.ndarray, hashed: bool = True) -> tuple[np.n
     return begin, end, (sums[end] - sums[begin]) * inverse[begin], first
 
 
+def grams(w: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of each run of so many neighbours among the words' hashes."""
+    n = len(w)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    power, inverse = _tables(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(w) * power[:n], out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * inverse[: n - size + 1])
+
+
 def pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, bounds) of runs of rows of a string column, of about PIECE bytes; a null is an empty text."""
     if column.null_count:
