@@ -193,3 +193,25 @@ def test_every_passage_of_50_words_shares_a_fingerprint():
             texts = [" ".join(words(rng, rng.randint(0, 40)) + passage + words(rng, rng.randint(0, 40))).encode() for _ in range(2)]
             at, h, _ = line_dedup.fingerprints(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
             assert set(h[at == 0]) & set(h[at == 1])
+
+
+def test_passages_of_later_partners_go(spark):
+    rng = random.Random(13)
+    parts = [words(rng, 30) for _ in range(6)]
+    docs = [(k, " ".join(words(rng, 20) + p + words(rng, 20))) for k, p in enumerate(parts)]  # each part alone first
+    for k in range(10, 40):  # then two in a row, and some in one document twice
+        a, b = rng.choice([(0, 1), (2, 3), (4, 5), (1, 2)])
+        docs.append((k, " ".join(words(rng, rng.randint(0, 30)) + parts[a] + parts[b] + words(rng, rng.randint(0, 30)) + (parts[a] + parts[b]) * (k % 5 == 0))))
+    near = words(rng, 300)
+    for k in range(40, 60):  # copies that share some of their changes
+        docs.append((k, " ".join(w + "x" * (i % 60 == 7 * (k % 3)) + "y" * (i == 40 + k % 4) for i, w in enumerate(near))))
+    docs += [(70, "to " * 300 + "be " * 80), (71, "be " * 70 + "to " * 90), (72, "a b c " * 100)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for (d, t), gone in zip(docs, (brute_removed(docs)[d] for d, _ in docs), strict=True):
+        assert got[d].text.split() == [w for w, g in zip(t.split(), gone, strict=True) if not g], d
+
+
+def test_all_passages_of_the_documents(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = brute_removed(docs)
+    assert {r.doc_id: r.removed_words for r in registry.op9_line_dedup(spark, SF).collect()} == {d: int(g.sum()) for d, g in want.items()}

@@ -71,31 +71,32 @@ def fingerprints(raw: np.ndarray, bounds: np.ndarray, min_words: int = MIN_WORDS
     return np.r_[number[text], number], np.r_[h, whole].view(np.int64), np.r_[picked - of[text], np.full(len(number), WHOLE)]
 
 
-def _reach(a: np.ndarray, b: np.ndarray) -> int:
-    """How many first elements are equal."""
-    n, at, step = min(len(a), len(b)), 0, 64
-    while at < n:
-        end = min(n, at + step)
-        wrong = np.flatnonzero(a[at:end] != b[at:end])
-        if len(wrong):
-            return at + int(wrong[0])
-        at, step = end, step * 4
-    return n
-
-
-def runs(mine: np.ndarray, first: np.ndarray, anchors: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
-    """Word ranges of `mine` that repeat `first`, extended both ways from the anchors (position, earlier position)."""
-    out: list[tuple[int, int]] = []
-    for p, q in sorted(anchors):
-        if out and out[-1][0] <= p < out[-1][1] - 1:
-            continue
-        right = _reach(mine[p:], first[q:])
-        if not right:
-            continue  # equal hashes of different lines
-        left = _reach(mine[:p][::-1], first[:q][::-1])
-        if left + right >= min_words:
-            out.append((p - left, p + right))
-    return out
+def held(mine: np.ndarray, first: np.ndarray, p: np.ndarray, q: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each passage of min_words words of `mine`: does it repeat `first`, and if not, is its fingerprint among p?
+
+    Equality is extended both ways from the fingerprints at p, which stand in `first` at q, as far as a passage reaches.
+    """
+    n = len(mine) - min_words + 1
+    edges = np.zeros(n + 1, np.int64)
+    back = min_words - gram(min_words)
+    ahead, behind = np.arange(min_words), -1 - np.arange(back)
+
+    def reach(p: np.ndarray, q: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        a, b = p[:, None] + steps, q[:, None] + steps
+        there = (a >= 0) & (a < len(mine)) & (b >= 0) & (b < len(first))
+        same = there & (mine[np.clip(a, 0, len(mine) - 1)] == first[np.clip(b, 0, len(first) - 1)])
+        return np.logical_and.accumulate(same, axis=1).sum(axis=1)
+
+    for i in range(0, len(p), 4096):
+        x, y = p[i : i + 4096], q[i : i + 4096]
+        lo, hi = x - reach(x, y, behind), x + reach(x, y, ahead) - min_words
+        some = hi >= lo
+        np.add.at(edges, lo[some], 1)
+        np.add.at(edges, hi[some] + 1, -1)
+    settled = np.cumsum(edges[:n]) > 0
+    asked = np.zeros(len(mine), bool)
+    asked[p] = True
+    return settled, asked[least_grams(mine, min_words)] & ~settled
 
 
 def without(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, ranges: list[tuple[int, int]]) -> tuple[str, int]:
@@ -124,6 +125,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     many as later fingerprints; a passage that very many documents share is one leader with blocks of followers. A
     document with just the words of an earlier one goes as a whole, by its fingerprint of all words.
 
+    A passage of `min_words` words that does not go so, though its least fingerprint stands earlier, may still stand in
+    another of that fingerprint's positions: all such passages meet by the hash of all their words, and all but the first
+    go. No passage is missed: its first place has the same least fingerprint, and either is that fingerprint's first
+    position or repeats nothing and so is among those that meet.
+
     Null text stays null and counts no words; empty text, and texts under `min_words` words, stay as they are. Null keys
     come first. Rows of equal key and text are one document: they are treated alike. A text that goes as a whole becomes
     empty. Columns of docs called n_words or removed_words go, others stay. An empty table gives no rows.
@@ -172,19 +178,30 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
             follows, ks, ts, anchors = (batch.column(c) for c in ("follows", "k", "t", "anchors"))
             for i, raw, bounds in wordspans.pieces(batch.column("body")):
                 _, _, hashes, at = wordspans.scan(raw, bounds)
-                out: list = [[], [], [], []]
+                out: list = [[np.zeros(0, np.int64)] for _ in range(6)]
                 for n in range(len(at) - 1):
                     own = hashes[at[n] : at[n + 1]]
                     if not follows[i + n].as_py():
                         first = own.copy()
                         continue
-                    both = anchors[i + n].values.flatten()
-                    for a, b in runs(own, first, list(zip(*(x.to_pylist() for x in both), strict=True)), min_words):
-                        for c, v in zip(out, (ks[i + n].as_py(), ts[i + n].as_py(), a, b), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["k", "t", "a", "b"])
-
-    found = rows.mapInArrow(match, "k long, t long, a long, b long").unionByName(copies).groupBy("k", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+                    p, q = (x.to_numpy() for x in anchors[i + n].values.flatten())
+                    settled, open_ = held(own, first, p, q, min_words)
+                    edges = np.flatnonzero(np.diff(np.r_[False, settled, False].astype(np.int8)))
+                    left = np.flatnonzero(open_)
+                    a, b = np.r_[edges[::2], left], np.r_[edges[1::2] - 1, left] + min_words
+                    h = np.r_[np.zeros(len(edges) // 2, np.int64), wordspans.grams(own, min_words)[left].view(np.int64)]
+                    asks = np.arange(len(a)) >= len(edges) // 2
+                    for c, v in zip(out, (np.full(len(a), ks[i + n].as_py()), np.full(len(a), ts[i + n].as_py()), a, b, h, asks), strict=True):
+                        c.append(v)
+                k, t, a, b, h, asks = map(np.concatenate, out)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (k, t, a, b)), pa.array(h, mask=asks == 0)], names=["k", "t", "a", "b", "h"])
+
+    judged = cut(rows.mapInArrow(match, "k long, t long, a long, b long, h long"))
+    again = judged.where("h is not null")
+    firsts = again.groupBy("h").agg(F.min(F.struct("k", "t", "a")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "f.*").toDF("h", "fk", "ft", "fa")
+    again = again.join(firsts, "h").where("not (k = fk and t = ft and a = fa)").select("k", "t", "a", "b")
+    found = judged.where("h is null").select("k", "t", "a", "b").unionByName(again).unionByName(copies)
+    found = found.groupBy("k", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     found = cut(found)
     n = found.count()
     blocks = bloom_blocks(n)
