@@ -215,3 +215,14 @@ def test_all_passages_of_the_documents(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = brute_removed(docs)
     assert {r.doc_id: r.removed_words for r in registry.op9_line_dedup(spark, SF).collect()} == {d: int(g.sum()) for d, g in want.items()}
+
+
+def test_leaks_with_distant_fingerprints(spark):
+    docs, items = [], []
+    for seed in (120, 136, 194):  # 30 of 35 shingles shared, fingerprints more than RADIUS bits apart
+        rng = random.Random(seed)
+        w = ["".join(rng.choices("abcdefghijklm", k=6)) for _ in range(39)]
+        items.append((seed, " ".join(w)))
+        docs.append((seed, " ".join([*w[:12], "changed", *w[13:]])))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.similarity for r in decontamination.find_leaks(a, b).collect()} == {(s, s): 0.75 for s in (120, 136, 194)}
