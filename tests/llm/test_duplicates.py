@@ -89,6 +89,16 @@ def test_near_duplicates_of_hard_groups(spark):
     assert near_duplicates.near_duplicate_groups(frame.limit(0)).count() == 0
 
 
+def test_links_with_distant_signatures(spark):
+    texts = {}
+    for k, seed in enumerate((2570, 5943, 20231)):  # 30 of 40 shingles shared, signatures more than RADIUS places apart
+        rng = random.Random(seed)
+        w = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(39)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(w), " ".join([*w[:12], "changed", *w[13:]])
+    out = near_duplicates.near_duplicate_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in out.collect()} == {k: k - k % 2 for k in texts}
+
+
 def check_vectors(out, rows):
     ids = [i for i, _ in rows]
     good = np.array([v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows])

@@ -13,9 +13,9 @@ from vellumspark.llm import shingles
 from vellumspark.llm.common import bloom_blocks, bloom_filter, bloom_may_contain, cut, ship
 from vellumspark.llm.components import components
 
-#: A signature has CHUNKS chunks of ROWS minima. A pair is a candidate if it differs in RADIUS places at most; then at
-#: least one chunk has one differing place at most (pigeonhole: RADIUS < 2 * CHUNKS), and leaving out each place of
-#: each chunk in turn enumerates all such chunks.
+#: A signature has CHUNKS chunks of ROWS minima. A pair is a candidate if some chunk has one differing place at most;
+#: leaving out each place of each chunk in turn enumerates all such chunks. A pair that differs in RADIUS places at most
+#: always has one (pigeonhole: RADIUS < 2 * CHUNKS).
 CHUNKS, ROWS = 12, 4
 SIZE, RADIUS = CHUNKS * ROWS, 2 * CHUNKS - 1
 #: Bins of the sketch that goes with a signature: in each, one byte of the set's least hash there (0: none).
@@ -137,9 +137,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _rest(keys: DataFrame, reps: DataFrame, comp: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
-    """Candidate pairs (a < b) of the same bucket in different components, as far as known, within the radius.
+    """Candidate pairs (a < b) of the same bucket in different components, as far as known, however far their signatures.
 
-    With `nearest`, not all of them: for each row, the one that differs in the fewest places, by signatures alone.
+    With `nearest`, not all of them: for each row, the one that differs in the fewest places, by signatures alone, and in
+    RADIUS at most.
 
     Only buckets that hold two components are looked into. A large bucket is cut into blocks and each pair of blocks is
     a unit of work. Rows of the component that is most frequent in a unit are not held against each other, and a pair
@@ -168,12 +169,13 @@ def _rest(keys: DataFrame, reps: DataFrame, comp: DataFrame, percent: int, neare
         found: list = [[np.zeros(0, np.int64)] for _ in range(3)]
         for i in np.flatnonzero(comp != common):
             far = (sig != sig[i]).sum(axis=1)
-            ok = (comp != comp[i]) & (far <= RADIUS) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            ok = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             if not own:
                 ok &= first != first[i]
             j = np.flatnonzero(ok)
-            if nearest and len(j):
-                j = j[[far[j].argmin()]]
+            if nearest:
+                j = j[far[j] <= RADIUS]
+                j = j[[far[j].argmin()]] if len(j) else j
             elif len(j):
                 j = j[~(keys[j, :place] == keys[i, :place]).any(axis=1)]
                 if len(j):
@@ -219,9 +221,10 @@ def _rest(keys: DataFrame, reps: DataFrame, comp: DataFrame, percent: int, neare
 def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """key, n_shingles, component (least key reachable over links), kept (key is its component); a row for each row.
 
-    Links: 100 * |A ∩ B| >= percent * |A ∪ B| over the sets of five-word shingles. Candidates are all pairs whose
-    signatures differ in RADIUS places at most (a pair of similarity 0.75 is beyond with a chance of about 3 in 10,000,
-    and even then mostly shares a chunk key); each link is confirmed on the full sets.
+    Links: 100 * |A ∩ B| >= percent * |A ∪ B| over the sets of five-word shingles. Candidates are all pairs that share a
+    chunk key, among them all whose signatures differ in RADIUS places at most (a pair of similarity 0.75 shares none with
+    a chance of about 1 in 10,000,000); each link is confirmed on the full sets. The first two rounds of comparisons
+    keep to the radius; what they leave out is left to the last one.
 
     1. Equal sets are one representative. 2. In each bucket of a chunk key, the least representative is held against
     the others: as many pairs as rows, and a group of copies, however large, is joined by them. 3. Each row of a bucket of
