@@ -182,3 +182,32 @@ def test_weak_parts_need_each_other(spark):
     rows = [(1, f"see {lone} there"), (2, f"{key} and {lone}"), (3, f"{lone} at {end}"), (4, f"{lone}{' far' * 100}{end}"), (5, f"{key} only"), (5, f"{key} only")]
     got = [(r.doc_id, [s.kind for s in r.spans]) for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got) == [(1, []), (2, ["ident", "candidate"]), (3, ["candidate", "endpoint"]), (4, []), (5, []), (5, [])]
+
+
+def test_cuts_are_the_best_of_all_places():
+    def cost(cuts, penalty, n, length):
+        assert cuts[-1] == n and all(0 < b - a <= length for a, b in zip([0, *cuts], cuts))
+        return len(cuts) * length - n + sum(penalty[c] for c in cuts)
+
+    rng = np.random.default_rng(5)
+    for k in range(60):
+        length = int(rng.choice([300, 1000, 4096]))
+        n = int(rng.integers(1, 12 * length))
+        docs = np.unique(np.r_[rng.integers(1, n + 1, rng.integers(0, 12)), n])
+        sentences = np.unique(rng.integers(1, n + 1, rng.integers(0, n // [20, 200, 900][k % 3] + 1)))
+        penalty = np.full(n + 1, packing.HARD_PENALTY)
+        penalty[sentences] = packing.SENTENCE_PENALTY
+        penalty[[0, *docs]] = 0
+        want = packing.choose_cuts(np.arange(n + 1), penalty, length)
+        assert cost(packing.best_cuts(n, docs, sentences, length), penalty, n, length) == cost(want, penalty, n, length)
+
+
+def test_texts_without_sentence_ends_leave_little_padding():
+    class Numbers:
+        def encode(self, texts):
+            sizes = np.array([int(t) for t in texts], np.int64)
+            return np.full(sizes.sum(), 9, np.int32), sizes
+
+    pieces = list(packing.pack_stream(iter([(list(range(60)), ["1399"] * 60)]), Numbers(), np.array([5], np.int32), 4096, 2, 0))
+    windows = len(set(np.concatenate([p["sequence_id"] for p in pieces]).tolist()))
+    assert windows == -(-60 * 1400 // 4096)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import zlib
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
@@ -15,8 +17,6 @@ from vellumspark.llm.common import fresh, ship
 
 #: What a cut inside a document costs, in tokens of padding: at a sentence's end, and anywhere else.
 SENTENCE_PENALTY, HARD_PENALTY = 16, 256
-#: Sentence ends nearer than this to a later one, by cells of so many tokens, are no places to cut.
-GRAIN = 64
 #: Tokens that one run of the dynamic program looks at, and words that a worker remembers.
 BUFFER, MEMO = 1 << 20, 1 << 21
 
@@ -126,7 +126,7 @@ def load(path: str):
 def choose_cuts(places: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
     """Indices into places (ascending, from 0 to the end) at which windows of at most `length` tokens end.
 
-    The sum of padding and penalties is least. The best way to a place is over the place before it, within reach, for
+    The sum of padding and penalties is least; best_cuts finds the same sum where any token may end a window. The best way to a place is over the place before it, within reach, for
     which cost so far plus position is least; a queue kept in rising order of that value gives it in constant time.
     """
     p, pen = places.tolist(), penalty.tolist()
@@ -152,25 +152,46 @@ def choose_cuts(places: np.ndarray, penalty: np.ndarray, length: int) -> list[in
     return out[::-1]
 
 
-def cut_places(ids: np.ndarray, doc_ends: np.ndarray, sentence_ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places to cut (token positions from 0 to the end) with their penalties.
+def best_cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int) -> list[int]:
+    """Positions, the last of them n, at which windows of at most `length` of n tokens end.
 
-    Every document's end, the last sentence end of each cell of GRAIN tokens, and, where those lie more than half a
-    window apart, each end of a cell between them.
+    The sum of padding and penalties is least, and any token may end a window. Padding is windows times length less n, so
+    moving a cut on to a later place of the same kind within reach never costs more: from a cut, the next one is at the
+    last document end in reach, at the last sentence end, or where the window is full. Of two ways, the one that costs no
+    more and is as far on is as good for all that follows; so ways are taken up by rising cost, and only those that are
+    farther on than all before. The first that is at n is the best.
     """
-    n = len(ids)
-    ends = np.flatnonzero(np.isin(ids, sentence_ids)) + 1
-    if len(ends):
-        cell = (ends - 1) // GRAIN
-        ends = ends[np.r_[cell[1:] != cell[:-1], True]]
-    soft = np.unique(np.concatenate([[0, n], doc_ends, ends]))
-    gap = np.flatnonzero(np.diff(soft) > length // 2)
-    hard = [np.arange(soft[g] + GRAIN, soft[g + 1], GRAIN) for g in gap]
-    places = np.unique(np.concatenate([soft, *hard]))
-    penalty = np.full(len(places), HARD_PENALTY, np.int64)
-    penalty[np.isin(places, ends)] = SENTENCE_PENALTY
-    penalty[np.isin(places, np.r_[0, n, doc_ends])] = 0
-    return places, penalty
+    docs, sentences = doc_ends.tolist(), sentence_ends.tolist()
+    ways = [(0, 0, -1)]  # cost, how far on (negative), number of the way before
+    taken: list[tuple[int, int]] = []
+    far = -1
+    while True:
+        cost, at, before = heapq.heappop(ways)
+        at = -at
+        if at <= far:
+            continue
+        far = at
+        taken.append((at, before))
+        if at == n:
+            break
+        me, cost, end = len(taken) - 1, cost + length, min(at + length, n)
+        i = bisect_right(docs, end)
+        last = end if end == n else docs[i - 1] if i else 0
+        if last > far:
+            heapq.heappush(ways, (cost, -last, me))
+        if last < end:
+            i = bisect_right(sentences, end)
+            if i and sentences[i - 1] > max(last, far):
+                last = sentences[i - 1]
+                heapq.heappush(ways, (cost + SENTENCE_PENALTY, -last, me))
+            if last < end:
+                heapq.heappush(ways, (cost + HARD_PENALTY, -end, me))
+    out = []
+    at, before = taken[-1]
+    while before >= 0:
+        out.append(at)
+        at, before = taken[before]
+    return out[::-1]
 
 
 def pack_stream(batches: Iterator[tuple[list, list[str]]], encoder, sentence_ids: np.ndarray, length: int, end_id: int, first: int, buffer: int = BUFFER) -> Iterator[dict]:
@@ -186,8 +207,7 @@ def pack_stream(batches: Iterator[tuple[list, list[str]]], encoder, sentence_ids
         if not len(ids):
             return None
         ends = np.cumsum(inside)
-        places, penalty = cut_places(ids, ends, sentence_ids, length)
-        cuts = places[choose_cuts(places, penalty, length)]
+        cuts = np.array(best_cuts(len(ids), ends, np.flatnonzero(np.isin(ids, sentence_ids)) + 1, length))
         if not last:
             if len(cuts) < 2:
                 return None
@@ -237,7 +257,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 4096, end
     """Packs documents, in the order in which the table holds them, into sequences of at most `length` tokens.
 
     A document is its ids and then end_id. Windows are cut where padding plus penalties is least: documents' ends cost
-    nothing, sentence ends little, other places more (they are offered only where the former are far apart). Each id
+    nothing, sentence ends little, other places more. Each id
     lies in exactly one piece; pieces of a sequence follow each other without gaps. Each input partition is a stream
     of its own, read once in order with a bounded buffer: no text is moved, and sequence ids hold the partition number
     in their upper bits. A partition's last sequence may be short.
