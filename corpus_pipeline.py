@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.llm import decontamination, line_dedup, near_duplicates, packing, toxicity
-from vellumspark.llm.common import shared_dir, table
+from vellumspark.llm.common import cut, fresh, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +24,18 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one whose id names the group."""
-    groups = near_duplicates.near_duplicate_groups(docs).where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("gone_"), "left_anti")
+    """One row of each group of near-duplicates, the one of the least doc_id (nulls last), and one of several equal rows.
+
+    A row is decided by its own doc_id and text: rows of one doc_id with different texts are documents of their own. For
+    that, rows are numbered in order of doc_id and text hash, and the numbers are the keys of the groups.
+    """
+    n, th = fresh(docs, "n_", "th_")
+    rows = cut(docs.dropDuplicates(["doc_id", "text"]).withColumn(th, F.xxhash64("text")))
+    numbers = rows.select(F.col("doc_id").alias("of_id"), F.col(th).alias("of_th")).distinct().orderBy(F.col("of_id").asc_nulls_last(), "of_th")
+    numbers = cut(numbers.withColumn(n, F.monotonically_increasing_id()))
+    rows = cut(rows.join(numbers, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col(th) == F.col("of_th"))).select(*docs.columns, n))
+    gone = near_duplicates.near_duplicate_groups(rows, key=n).where("not kept").select(n)
+    return rows.join(gone, n, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

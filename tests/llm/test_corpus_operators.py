@@ -226,3 +226,13 @@ def test_leaks_with_distant_fingerprints(spark):
         docs.append((seed, " ".join([*w[:12], "changed", *w[13:]])))
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id): r.similarity for r in decontamination.find_leaks(a, b).collect()} == {(s, s): 0.75 for s in (120, 136, 194)}
+
+
+def test_near_duplicates_go_by_row(spark):
+    rng = random.Random(14)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    near = " ".join([*a[:30], "changed", *a[31:]])
+    rows = [(1, " ".join(a)), (2, near), (2, " ".join(b)), (3, " ".join(c)), (3, " ".join(c)), (4, None), (4, None), (None, " ".join(b)), (5, "")]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = sorted([(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, frame, SF).collect()], key=str)
+    assert got == sorted([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c)), (4, None), (5, "")], key=str)
