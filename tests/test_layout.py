@@ -130,3 +130,66 @@ def test_logs_history_and_trigger(spark, tmp_path):
     os.makedirs(tmp_path / "h/user/20260101")
     (tmp_path / "h/user/20260101/info.json").write_text('{"entry_id": "20260101", "created_at": "2026-01-01T00:00:00", "files": {"txt": "x.txt"}}')
     assert history(spark, str(tmp_path / "h")).first().files == {"txt": "x.txt"}
+
+
+def plain_near(rows):
+    """The reference's rule (src/pipeline.py:474-560, its exact stage aside) for the lines (ln, text, x0, y0, x1, y1) of a page."""
+    import re
+    from difflib import SequenceMatcher
+
+    def mark(t):
+        for kind, p in (("S", r"^\s*(\d{1,2}\.\d{1,2})\b"), ("L", r"^\s*(\d{1,2})\s*[.)]")):
+            if m := re.match(p, t.strip()):
+                return kind + m.group(1)
+
+    def near(a, b):
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        held = len(short) >= 18 and short in long and len(short) / len(long) >= 0.55
+        begin = a[:24] == b[:24] and abs(len(a) - len(b)) <= max(12, len(a) // 5)
+        return a == b or held or (len(short) >= 16 and (begin or SequenceMatcher(None, a[:80], b[:80]).ratio() >= 0.90))
+
+    def twins(o, b):
+        close = abs(b[3] - o[3]) < 48
+        w, h = min(o[4], b[4]) - max(o[2], b[2]), min(o[5], b[5]) - max(o[3], b[3])
+        over = w > 0 and h > 0 and w * h / max(1e-6, min((r[4] - r[2]) * (r[5] - r[3]) for r in (o, b))) > 0.12
+        like = near(*("".join(r[1].split()) for r in (o, b)))
+        if mark(b[1]) and mark(b[1]) == mark(o[1]):
+            return ("แผนภูมิ" in o[1]) == ("แผนภูมิ" in b[1]) and (like or close)
+        return like and (over or close)
+
+    rich = lambda r: len(re.findall("[\u0e00-\u0e7f]", r[1])) + len(r[1].strip())
+    out = []
+    for b in sorted(rows, key=lambda r: (r[3], r[2], r[0])):
+        for i in range(len(out) - 1, max(0, len(out) - 12) - 1, -1):
+            if abs(b[3] - out[i][3]) > 64:
+                i = -1
+                break
+            if b[1].strip() and out[i][1].strip() and twins(out[i], b):
+                break
+        else:
+            i = -1
+        if i < 0:
+            out.append(b)
+        elif rich(b) > rich(out[i]):
+            out[i] = b
+    return {r[0] for r in out}
+
+
+def test_near_lines_go_by_the_rule_of_the_reference(spark, sf):
+    same = "abcdefghijklmnopqrstuvwx"
+    texts = [
+        (same + " one two", 0, 10), (same + " 9876543 yz", 30, 40),  # alike at the beginning
+        ("2.1 first words", 100, 110), ("2.1 other text", 140, 150),  # the same marker, near in height
+        ("3) first words", 200, 210), ("3) other text", 255, 265),  # the same marker, not near
+        ("a line of some length here", 300, 310), ("a line of some length here", 355, 365),  # equal, neither near nor overlapping
+        ("another line of some length", 400, 460), ("another line of some length", 450, 510),  # equal and overlapping
+        ("4. แผนภูมิ", 600, 610), ("4. text", 620, 630), ("  ", 640, 650), ("  ", 650, 660),
+    ]
+    rows = [(1, k, 0, t, 0, a, 100, b) for k, (t, a, b) in enumerate(texts)]
+    made = spark.createDataFrame(rows, "doc_id long, ln int, page int, text string, x0 int, y0 int, x1 int, y1 int")
+    assert {r.ln for r in layout.dedup_near(made).collect()} == plain_near([(r[1], *r[3:]) for r in rows]) == {1, 2, 4, 5, 6, 7, 8, 10, 11, 12, 13}
+    pages: dict = {}
+    for r in catalog._lines(spark, sf).collect():
+        pages.setdefault((r.doc_id, r.page), []).append((r.ln, r.text, r.x0, r.y0, r.x1, r.y1))
+    want = {(d, n) for (d, _), page in pages.items() for n in plain_near(page)}
+    assert {(r.doc_id, r.ln) for r in catalog.QUERIES["dedup_near"](spark, sf).collect()} == want

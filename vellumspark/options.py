@@ -24,6 +24,9 @@ class Options:
     marker_reach: float = 0.10
     near_rows: int = 12
     near_distance: float = 64.0
+    near_height: float = 48.0
+    near_overlap: float = 0.12
+    chart_label: str = "แผนภูมิ"
     retention_days: int = 30
     retrain_interval: int = 5
     junk_lines: tuple[str, ...] = field(default_factory=tuple)
