@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 
+#: Settings of Arrow batches: Spark's own values, and those used here.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304"))
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, and keeps Arrow batches small enough for long texts.
+    """Makes this package importable in Python workers, and bounds Arrow batches by bytes, for long texts.
 
-    Nothing is sent where the workers already see the package (PYTHONPATH).
+    Nothing is sent where the workers already see the package (PYTHONPATH). The bounds are settings of the session, which
+    lazy results need as well when they run; only those that still have Spark's own values are changed.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for name, usual, value in BATCHES:
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, value)
     known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     app = spark.sparkContext.applicationId
     if str(ROOT) in known or app in _shipped:
@@ -50,9 +58,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Runs the plan once and cuts its lineage, into the folder that all executors share."""
+    """Runs the plan once and cuts its lineage, into the folder that all executors share.
+
+    The shuffles of that one run go with it: what stands in the shared folder needs them no longer.
+    """
+    conf = df.sparkSession.conf
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan takes the setting when it is made
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
