@@ -127,3 +127,28 @@ def test_embeddings(spark, block, monkeypatch):
     assert embedding_duplicates.link_vectors(frame.limit(0)).count() == 0
     only_bad = frame.where("vec_id in (30000, 30001)")
     assert [(r.n_links, r.kept) for r in embedding_duplicates.link_vectors(only_bad).collect()] == [(0, True)] * 2
+
+
+def test_embeddings_of_odd_rows(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(None, v, 5), (4, v, 6), (4, v, 7), (9, [1.0, 2.0, 3.1], 8), (8, [-1.0, 0.0, 0.0], 9), (None, [-2.0, 0.0, 0.0], 9), (3, [float(2**60), 2.0**61, 3.0 * 2**60], 9)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int")
+    got = sorted([(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_duplicates.link_vectors(frame).collect()], key=str)
+    assert got == [(3, 4, 3, True), (4, 4, 3, False), (4, 4, 3, False), (8, 1, 8, True), (9, 4, 3, False), (None, 1, None, True), (None, 4, None, True)]
+
+
+def test_one_of_two_linked_vectors_probes_the_other_s_list():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = x + rng.normal(size=x.shape) * 0.07
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    near = np.linalg.norm(x - y, axis=1) <= np.sqrt(0.1)
+    index = embedding_duplicates.Index(x[:1000], 60, float(np.sqrt(0.1)))
+    (a, *_, probes_x), (b, *_, probes_y) = index.assign(x), index.assign(y)
+    apart = 0
+    for i in np.flatnonzero(near):
+        assert b[i] in probes_x[i] or a[i] in probes_y[i]
+        assert (b[i] in probes_x[i]) == (a[i] == b[i] or index.probed(x[i : i + 1], a[i : i + 1], b[i : i + 1])[0])
+        apart += a[i] != b[i]
+    assert apart > 100
