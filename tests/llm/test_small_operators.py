@@ -139,6 +139,20 @@ def test_words_give_the_ids_of_whole_texts():
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_words_that_are_forgotten_are_learnt_again(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 50)
+    encoder = packing.WordEncoder(packing.load(public_tokenizers.path("word_bpe_49k.json"))[0].tokenizer)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("aeistn,.", k=rng.choice((0, 1, 1, 2, 5))))
+    for _ in range(60):
+        texts = [" ".join(word() for _ in range(rng.randint(0, 12))) for _ in range(5)]
+        ids, sizes = encoder.encode(texts)
+        want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert len(encoder.index) == encoder.words < 50 + 100
+    assert encoder.encode([])[1].tolist() == []
+
+
 def test_cuts_are_the_best_ones():
     rng = np.random.default_rng(1)
     for _ in range(40):

@@ -18,17 +18,35 @@ from vellumspark.llm.common import fresh, ship
 #: What a cut inside a document costs, in tokens of padding: at a sentence's end, and anywhere else.
 SENTENCE_PENALTY, HARD_PENALTY = 16, 256
 #: Tokens that one run of the dynamic program looks at, and words that a worker remembers.
-BUFFER, MEMO = 1 << 20, 1 << 21
+BUFFER, MEMO = 1 << 20, 1 << 19
 
 _encoders: dict = {}
 
 
+class Words(dict):
+    """Numbers of words in the order in which they are asked for; 0 is the empty word."""
+
+    def __init__(self) -> None:
+        super().__init__({"": 0})
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def take_new(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
 class WordEncoder:
     """Ids of whole texts for a tokenizer whose pre-tokens never reach over a space or line feed.
 
     This tokenizer folds runs of white space to one space, splits by a pattern that matches no white space, and
     merges inside those parts only; so a text's ids are those of its space-separated words in a row, and each word is
     encoded once by the library and remembered. `load` holds that property against the tokenizer's own description.
+    Beyond MEMO words, only those that came again since the last time stay remembered, the half that came most at most.
     """
 
     def __init__(self, tokenizer) -> None:
@@ -36,9 +54,29 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
+        self.index = Words()
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.off, self.words = np.zeros(1 << 16, np.int64), 1
+        self.seen = np.zeros(1, np.int64)
+
+    def _forget(self) -> None:
+        seen = self.seen[: self.words]
+        stay = np.flatnonzero(seen > 1)
+        if len(stay) > MEMO // 2:
+            stay = np.sort(stay[np.argpartition(-seen[stay], MEMO // 2)[: MEMO // 2]])
+        stay = stay[stay > 0]
+        flags = np.zeros(self.words, bool)
+        flags[stay] = True
+        size = self.off[stay + 1] - self.off[stay]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.flat[np.repeat(self.off[stay] - (ends - size), size) + np.arange(total)]
+        words = [w for w, keep in zip(self.index, flags.tolist(), strict=True) if keep]  # a word's index is its place
+        self.clear()
+        self.index.update(zip(words, range(1, len(words) + 1), strict=True))
+        self.flat, self.used, self.words = np.r_[flat, np.zeros(1 << 16, np.int32)].astype(np.int32), total, len(words) + 1
+        self.off = np.r_[0, 0, ends, np.zeros(1 << 16, np.int64)].astype(np.int64)
+        self.seen = np.zeros(self.words, np.int64)
 
     def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 4096):
@@ -62,24 +100,18 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
         if self.words > MEMO:
-            self.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        index, new = self.index, {}
-        n = self.words
-        for ws in split:
-            for w in ws:
-                if w not in index:
-                    index[w] = n
-                    new[w] = None
-                    n += 1
-        self._learn(list(new))
-        idx = np.fromiter((index[w] for ws in split for w in ws), np.int64)
+            self._forget()
+        words = " ".join(texts).replace("\n", " ").split(" ")
+        idx = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        self._learn(self.index.take_new())
+        self.seen = np.r_[self.seen, np.zeros(self.words - len(self.seen), np.int64)]
+        self.seen += np.bincount(idx, minlength=self.words)
         size = self.off[idx + 1] - self.off[idx]
         size[idx == 0] = 0
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.off[idx] - (ends - size), size) + np.arange(total)]
-        last = np.cumsum([len(ws) for ws in split])
+        last = np.cumsum([t.count(" ") + t.count("\n") + 1 for t in texts])
         per_text = np.diff(np.r_[0, ends[last - 1]]) if len(last) else np.zeros(0, np.int64)
         return ids, per_text
 

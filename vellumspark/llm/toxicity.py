@@ -32,7 +32,7 @@ FEATURES = (
     "lexicon_density", "lexicon_count", "stem_density", "stem_count", "hidden_density", "person_density", "near_person", "near_share",
     "caps_share", "caps_words", "title_words", "exclaim", "question", "other_marks", "mixed_words", "stretched_words", "mean_word", "log_words",
 )
-_MEMO = 1 << 20
+_MEMO = 1 << 18
 
 
 def entries(word: str) -> list[str]:
