@@ -32,6 +32,16 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_with_hot_vertices(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT", 10)
+    monkeypatch.setattr(components, "HOT_SHARE", 10**9)
+    rng = random.Random(14)
+    hubs = rng.sample(range(3000), 12)
+    pairs = [(h, x) for h in hubs for x in rng.sample(range(3000), 60)] + [(3000 + i, 3001 + i) for i in range(25)] + [(5, 6)] * 30
+    got = {r.vertex: r.component for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == union({x for p in pairs for x in p if p[0] != p[1]}, pairs)
+
+
 def sets(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -57,19 +59,43 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside lose their shuffles when they have run."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Runs the plan once and cuts its lineage, into the folder that all executors share.
 
     The shuffles of that one run go with it: what stands in the shared folder needs them no longer.
     """
-    conf = df.sparkSession.conf
     shared_dir(df.sparkSession)
-    before = conf.get(CLEANUP)
-    conf.set(CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)  # a plan takes the setting when it is made
-    finally:
-        conf.set(CLEANUP, before)
+    with _cleaned(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
+def rows_of(df: DataFrame) -> list:
+    """The rows of a frame whose size has a bound; the run's shuffles go."""
+    with _cleaned(df.sparkSession):
+        return df.select("*").collect()
+
+
+def count_of(df: DataFrame) -> int:
+    return rows_of(df.agg(F.count(F.lit(1))))[0][0]
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a frame from `cut` that no plan reads any longer."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -122,7 +148,7 @@ def bloom_filter(keys: DataFrame, key: str, blocks: int) -> Column:
     h = F.col(key)
     filled = keys.where(h.isNotNull()).groupBy(_bloom_block(h, blocks).alias("b")).agg(F.bit_or(_bloom_mask(h)).alias("w"))
     words = np.zeros(blocks, np.int64)
-    for b, w in filled.collect():
+    for b, w in rows_of(filled):
         words[b] = w
     return F.lit(words)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm import wordspans
-from vellumspark.llm.common import bloom_blocks, bloom_filter, bloom_may_contain, cut, fresh, ship
+from vellumspark.llm.common import bloom_blocks, bloom_filter, bloom_may_contain, count_of, cut, fresh, ship
 from vellumspark.llm.shingles import mix
 
 #: Runs of so many words are passages.
@@ -164,7 +164,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     needs = members.select(*leaders.columns).unionByName(leaders)
 
     ids = needs.select("k", "t").distinct()
-    n = ids.count()
+    n = count_of(ids)
     blocks = bloom_blocks(n)
     near = bloom_filter(ids.select(F.xxhash64("k", "t").alias("x")), "x", blocks) if n else None
     asked = base.where(bloom_may_contain(near, F.xxhash64(k0, th), blocks)) if n else base.limit(0)
@@ -203,7 +203,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     found = judged.where("h is null").select("k", "t", "a", "b").unionByName(again).unionByName(copies)
     found = found.groupBy("k", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     found = cut(found)
-    n = found.count()
+    n = count_of(found)
     blocks = bloom_blocks(n)
     none = F.lit(None).cast("array<struct<a:bigint,b:bigint>>")
     if n:

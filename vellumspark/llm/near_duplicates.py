@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm import shingles
-from vellumspark.llm.common import bloom_blocks, bloom_filter, bloom_may_contain, cut, ship
+from vellumspark.llm.common import bloom_blocks, bloom_filter, bloom_may_contain, count_of, cut, ship
 from vellumspark.llm.components import components
 
 #: A signature has CHUNKS chunks of ROWS minima. A pair is a candidate if some chunk has one differing place at most;
@@ -257,10 +257,13 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     keys = keys.select("k", "rep")
     for nearest in (True, False):
-        rest = _rest(keys, reps, components(links), percent, nearest)
+        comp = cut(components(links))
+        rest = _rest(keys, reps, comp, percent, nearest)
         rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
         wanted = rest.select(F.col("a").alias("r")).unionByName(rest.select(F.col("b").alias("r"))).distinct()
-        links = cut(links.unionByName(_verify(rest, _texts(source, reps, wanted), percent)))
+        # what is tied so far goes on as stars
+        tied = comp.where("vertex <> component").select(F.col("vertex").alias("u"), F.col("component").alias("v"))
+        links = cut(tied.unionByName(_verify(rest, _texts(source, reps, wanted), percent)))
         tried = tried.unionByName(rest)
 
     vertex = reps.select(F.col("rep").alias("of"), "vertex")
@@ -289,7 +292,7 @@ def _within(pairs: DataFrame, percent: int) -> DataFrame:
 def _texts(source: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, text) of the wanted representatives, found by key and checksum."""
     need = cut(reps.join(wanted, F.col("rep") == F.col("r"), "left_semi").select("rep", "vertex", F.col("th").alias("of_th")))
-    blocks = bloom_blocks(need.count())
+    blocks = bloom_blocks(count_of(need))
     near = bloom_filter(need, "of_th", blocks)  # texts that nobody asks for are not shuffled
     rows = source.withColumn("th", F.xxhash64("text"))
     return rows.where(bloom_may_contain(near, F.col("th"), blocks)).join(need, (F.col("key") == F.col("vertex")) & (F.col("th") == F.col("of_th"))).select("rep", "text")

@@ -19,6 +19,8 @@ from vellumspark.llm.common import fresh, ship
 SENTENCE_PENALTY, HARD_PENALTY = 16, 256
 #: Tokens that one run of the dynamic program looks at, and words that a worker remembers.
 BUFFER, MEMO = 1 << 20, 1 << 19
+#: Marks that a word may end in; none of them is part of a special token or a contraction.
+MARKS = ".,;:!?#%&*$-()"
 
 _encoders: dict = {}
 
@@ -56,64 +58,78 @@ class WordEncoder:
     def clear(self) -> None:
         self.index = Words()
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.off, self.words = np.zeros(1 << 16, np.int64), 1
-        self.seen = np.zeros(1, np.int64)
+        # of each word: where its ids begin in flat, how many they are, how often it was asked for
+        self.off, self.size, self.seen = (np.zeros(1, np.int64) for _ in range(3))
 
     def _forget(self) -> None:
-        seen = self.seen[: self.words]
-        stay = np.flatnonzero(seen > 1)
+        stay = np.flatnonzero(self.seen > 1)
         if len(stay) > MEMO // 2:
-            stay = np.sort(stay[np.argpartition(-seen[stay], MEMO // 2)[: MEMO // 2]])
+            stay = np.sort(stay[np.argpartition(-self.seen[stay], MEMO // 2)[: MEMO // 2]])
         stay = stay[stay > 0]
-        flags = np.zeros(self.words, bool)
+        flags = np.zeros(len(self.seen), bool)
         flags[stay] = True
-        size = self.off[stay + 1] - self.off[stay]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.repeat(self.off[stay] - (ends - size), size) + np.arange(total)]
         words = [w for w, keep in zip(self.index, flags.tolist(), strict=True) if keep]  # a word's index is its place
+        flat, size = self._ids(stay), self.size[stay]
         self.clear()
         self.index.update(zip(words, range(1, len(words) + 1), strict=True))
-        self.flat, self.used, self.words = np.r_[flat, np.zeros(1 << 16, np.int32)].astype(np.int32), total, len(words) + 1
-        self.off = np.r_[0, 0, ends, np.zeros(1 << 16, np.int64)].astype(np.int64)
-        self.seen = np.zeros(self.words, np.int64)
+        self.flat, self.used = np.r_[flat, np.zeros(1 << 16, np.int32)].astype(np.int32), len(flat)
+        self.off, self.size, self.seen = np.r_[0, np.cumsum(size) - size], np.r_[0, size], np.zeros(len(words) + 1, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
+    def _ids(self, idx: np.ndarray) -> np.ndarray:
+        """The ids of the words idx in a row."""
+        size = self.size[idx]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.off[idx] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+    def _store(self, ids: np.ndarray, number: np.ndarray, size: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.off[number], self.size[number] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+
+    def _learn(self) -> None:
+        """Encodes the words that are new. One that ends in marks is put together from the word before them and the marks.
+
+        A letter and such a mark are never in the same part, and parts are merged by themselves; ASCII letters are
+        lower-cased by the tokenizer anyway.
+        """
+        index, old = self.index, len(self.seen)
+        plain, whole, head, tail = [], [], [], []
+        for n, word in enumerate(index.take_new(), old):
+            core = word.rstrip(MARKS)
+            low = core.lower() if core.isascii() else core
+            if low != word and core[-1:].lower().isalpha():  # no letter whose small form ends in a combining mark
+                whole.append(n)
+                head.append(index[low])
+                tail.append(index[word[len(core) :]])
+            else:
+                plain.append((n, word))
+        plain += enumerate(index.take_new(), old + len(plain) + len(whole))
+        grown = np.zeros(len(index) - old, np.int64)
+        self.off, self.size, self.seen = (np.r_[x, grown] for x in (self.off, self.size, self.seen))
+        for i in range(0, len(plain), 512):
+            numbers, part = zip(*plain[i : i + 512], strict=True)
             enc = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(enc.ids, dtype=np.int32)
-            starts = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
-            at = np.fromiter((o[0] for o in enc.offsets), np.int64, len(ids))
-            ends = self.used + np.searchsorted(at, starts[1:], side="left")
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.words + len(part) >= len(self.off):
-                self.off = np.concatenate([self.off, np.zeros_like(self.off)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.off[self.words] = self.used
-            self.off[self.words + 1 : self.words + len(part)] = ends
-            self.used += len(ids)
-            self.words += len(part)
-            self.off[self.words] = self.used
+            ends = np.cumsum([len(w) + 1 for w in part])
+            at = np.fromiter((o[0] for o in enc.offsets), np.int64, len(enc))
+            self._store(np.array(enc.ids, dtype=np.int32), np.array(numbers), np.diff(np.searchsorted(at, ends, side="left"), prepend=0))
+        if whole:
+            both = np.stack([head, tail], axis=1)
+            self._store(self._ids(both.ravel()), np.array(whole), self.size[both].sum(axis=1))
+            np.add.at(self.seen, both.ravel(), 1)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
-        if self.words > MEMO:
+        if len(self.seen) > MEMO:
             self._forget()
         words = " ".join(texts).replace("\n", " ").split(" ")
         idx = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        self._learn(self.index.take_new())
-        self.seen = np.r_[self.seen, np.zeros(self.words - len(self.seen), np.int64)]
-        self.seen += np.bincount(idx, minlength=self.words)
-        size = self.off[idx + 1] - self.off[idx]
-        size[idx == 0] = 0
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.off[idx] - (ends - size), size) + np.arange(total)]
-        last = np.cumsum([t.count(" ") + t.count("\n") + 1 for t in texts])
-        per_text = np.diff(np.r_[0, ends[last - 1]]) if len(last) else np.zeros(0, np.int64)
-        return ids, per_text
+        self._learn()
+        self.seen += np.bincount(idx, minlength=len(self.seen))
+        last = np.cumsum([t.count(" ") + t.count("\n") + 1 for t in texts], dtype=np.int64)
+        ends = np.cumsum(self.size[idx])
+        return self._ids(idx), np.diff(ends[last - 1], prepend=0) if len(last) else np.zeros(0, np.int64)
 
 
 class PlainEncoder:

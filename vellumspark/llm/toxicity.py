@@ -41,15 +41,17 @@ def entries(word: str) -> list[str]:
 
 
 class Features:
-    """Dense features of texts for a lexicon; words are judged once and remembered up to a bound."""
+    """Dense features of texts for a lexicon; words are judged once and remembered, the last _MEMO to 2 x _MEMO of them."""
 
     def __init__(self, lexicon: set[str]) -> None:
         self.lexicon = lexicon
         self.memo: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def judge(self, raw: str) -> int:
-        if len(self.memo) >= _MEMO:
-            self.memo.clear()
+        if raw in self.older:
+            self.memo[raw] = flags = self.older[raw]
+            return flags
         word = raw.strip(".,;:!?\"'()[]{}…«»“”-#%&*$")
         low = word.lower()
         flags = 0
@@ -82,6 +84,9 @@ class Features:
             if not n:
                 continue
             codes = np.fromiter((memo[w] if w in memo else judge(w) for w in words), np.uint8, n)
+            if len(memo) > _MEMO:
+                self.older = memo
+                memo = self.memo = {}
             by = np.bincount(codes, minlength=256)
             count = lambda bit: int(by[_HAS[bit]].sum())  # noqa: B023, E731
             hits, stems, hidden = count(WORD), count(STEM), count(HIDDEN)
