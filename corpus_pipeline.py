@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.llm import decontamination, line_dedup, near_duplicates, packing, toxicity
-from vellumspark.llm.common import cut, fresh, shared_dir, table
+from vellumspark.llm.common import bloom_blocks, bloom_filter, bloom_may_contain, count_of, cut, fresh, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +27,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each group of near-duplicates, the one of the least doc_id (nulls last), and one of several equal rows.
 
     A row is decided by its own doc_id and text: rows of one doc_id with different texts are documents of their own. For
-    that, rows are numbered in order of doc_id and text hash, and the numbers are the keys of the groups.
+    that, each row has a number of its own, and the numbers are the keys of the groups. Rows without words (null or empty
+    texts among them) are near nothing: of these, only repetitions of doc_id and text go. Of equally good rows any one
+    stays. Only rows that may go are moved. An empty table gives no rows.
     """
     n, th = fresh(docs, "n_", "th_")
-    rows = cut(docs.dropDuplicates(["doc_id", "text"]).withColumn(th, F.xxhash64("text")))
-    numbers = rows.select(F.col("doc_id").alias("of_id"), F.col(th).alias("of_th")).distinct().orderBy(F.col("of_id").asc_nulls_last(), "of_th")
-    numbers = cut(numbers.withColumn(n, F.monotonically_increasing_id()))
-    rows = cut(rows.join(numbers, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col(th) == F.col("of_th"))).select(*docs.columns, n))
-    gone = near_duplicates.near_duplicate_groups(rows, key=n).where("not kept").select(n)
-    return rows.join(gone, n, "left_anti").select(*docs.columns)
+    rows = cut(docs.withColumns({n: F.monotonically_increasing_id(), th: F.md5(F.col("text").cast("binary"))}))
+    groups = near_duplicates.near_duplicate_groups(rows, key=n).select(F.col(n).alias("of"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"))
+    known = groups.join(rows.select(n, F.col("doc_id").alias("id"), F.col(th).alias("t")), F.col("of") == F.col(n)).select("of", "group", "id", "t")
+    alone = lambda c: F.when(F.col("group").isNull(), F.col(c))
+    best = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("t"), F.col("of"))).getField("of").alias("best")
+    kept = cut(known.groupBy("group", alone("id").alias("a"), alone("t").alias("b")).agg(best)).select("best")
+    gone = cut(rows.select(n).join(kept, F.col(n) == F.col("best"), "left_anti"))
+    blocks = bloom_blocks(count_of(gone))
+    near = bloom_may_contain(bloom_filter(gone.select(F.xxhash64(n).alias("h")), "h", blocks), F.xxhash64(n), blocks)
+    return rows.where(~near).unionByName(rows.where(near).join(gone, n, "left_anti")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
