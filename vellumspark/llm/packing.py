@@ -18,7 +18,7 @@ from vellumspark.llm.common import fresh, ship
 #: What a cut inside a document costs, in tokens of padding: at a sentence's end, and anywhere else.
 SENTENCE_PENALTY, HARD_PENALTY = 16, 256
 #: Tokens that one run of the dynamic program looks at, and words that a worker remembers.
-BUFFER, MEMO = 1 << 20, 1 << 19
+BUFFER, MEMO = 1 << 20, 1 << 20
 #: Marks that a word may end in; none of them is part of a special token or a contraction.
 MARKS = ".,;:!?#%&*$-()"
 
@@ -95,7 +95,7 @@ class WordEncoder:
         lower-cased by the tokenizer anyway.
         """
         index, old = self.index, len(self.seen)
-        plain, whole, head, tail = [], [], [], []
+        numbers, plain, whole, head, tail = [], [], [], [], []
         for n, word in enumerate(index.take_new(), old):
             core = word.rstrip(MARKS)
             low = core.lower() if core.isascii() else core
@@ -104,16 +104,19 @@ class WordEncoder:
                 head.append(index[low])
                 tail.append(index[word[len(core) :]])
             else:
-                plain.append((n, word))
-        plain += enumerate(index.take_new(), old + len(plain) + len(whole))
+                numbers.append(n)
+                plain.append(word)
+        parts = index.take_new()
+        numbers += range(len(index) - len(parts), len(index))
+        plain += parts
         grown = np.zeros(len(index) - old, np.int64)
         self.off, self.size, self.seen = (np.r_[x, grown] for x in (self.off, self.size, self.seen))
         for i in range(0, len(plain), 512):
-            numbers, part = zip(*plain[i : i + 512], strict=True)
+            part = plain[i : i + 512]
             enc = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ends = np.cumsum([len(w) + 1 for w in part])
             at = np.fromiter((o[0] for o in enc.offsets), np.int64, len(enc))
-            self._store(np.array(enc.ids, dtype=np.int32), np.array(numbers), np.diff(np.searchsorted(at, ends, side="left"), prepend=0))
+            self._store(np.array(enc.ids, dtype=np.int32), np.array(numbers[i : i + 512]), np.diff(np.searchsorted(at, ends, side="left"), prepend=0))
         if whole:
             both = np.stack([head, tail], axis=1)
             self._store(self._ids(both.ravel()), np.array(whole), self.size[both].sum(axis=1))
