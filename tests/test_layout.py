@@ -50,7 +50,7 @@ def test_markers(spark, token, ok):
 
 def test_text(spark):
     assert one(spark, T.fix_thai_spacing("t"), t="ก ข ค  ง x") == "กขคง x"
-    assert one(spark, T.clean_text("t"), t="a​  b \n----\n\n\n\n๑๒\x01") == "a b\n\n12"
+    assert one(spark, T.clean_text("t"), t="a​  b \n----\n\n\n\n๑๒\x01") == "a b\n12"
     assert one(spark, T.thai_join(F.array(F.lit("กข"), F.lit(" คง "), F.lit("ab"), F.lit("")))) == "กขคง ab"
     assert one(spark, T.script_runs("t"), t="กข ab ค") == ["กข ", "ab ", "ค"]
     assert one(spark, T.marker_key("t"), t=" 2.3 x") == "S2.3" and one(spark, T.marker_key("t"), t="7) x") == "L7" and one(spark, T.marker_key("t"), t="x") is None
@@ -133,7 +133,7 @@ def test_logs_history_and_trigger(spark, tmp_path):
 
 
 def plain_near(rows):
-    """The reference's rule (src/pipeline.py:474-560, its exact stage aside) for the lines (ln, text, x0, y0, x1, y1) of a page."""
+    """The rule in plain loops, its exact stage aside, for the lines (ln, text, x0, y0, x1, y1) of a page."""
     import re
     from difflib import SequenceMatcher
 
@@ -175,7 +175,7 @@ def plain_near(rows):
     return {r[0] for r in out}
 
 
-def test_near_lines_go_by_the_rule_of_the_reference(spark, sf):
+def test_near_lines_go_by_the_plain_rule(spark, sf):
     same = "abcdefghijklmnopqrstuvwx"
     texts = [
         (same + " one two", 0, 10), (same + " 9876543 yz", 30, 40),  # alike at the beginning
@@ -193,3 +193,26 @@ def test_near_lines_go_by_the_rule_of_the_reference(spark, sf):
         pages.setdefault((r.doc_id, r.page), []).append((r.ln, r.text, r.x0, r.y0, r.x1, r.y1))
     want = {(d, n) for (d, _), page in pages.items() for n in plain_near(page)}
     assert {(r.doc_id, r.ln) for r in catalog.QUERIES["dedup_near"](spark, sf).collect()} == want
+
+
+def test_predicates_of_recognised_text(spark):
+    check = lambda f, t: one(spark, f("t"), t=t)
+    assert all(check(T.healthy_latin, t) for t in ("Microsoft Windows", "ESET", "ms sql", "PC", "VMware vSphere"))
+    assert not any(check(T.healthy_latin, t) for t in ("", "X", "BCDFGHJKLMNP", "SLBLS"))
+    assert all(check(T.plausible_cell, t) for t in ("Microsoft Windows", "Next Generation Firewall", "1,200", "ข้าว", "A1"))
+    assert not any(check(T.plausible_cell, t) for t in ("", "----", "กากากา", "ยอมแพ้"))
+    assert all(check(T.thai_hallucination, t) for t in ("ยอมแพ้", "สังคมพิสูจน์มักฯ '_", "x!!"))
+    assert not check(T.thai_hallucination, "เครื่องคอมพิวเตอร์แม่ข่าย")
+    assert check(T.garbled_for_thai, "BCDFGHJKLMNPQR") and check(T.garbled_for_thai, "โสภณเพ็ญ")
+    assert not any(check(T.garbled_for_thai, t) for t in ("", "Hello English only", "Microsoft Windows Server", "ชื่อ จำนวน ข้าว 10"))
+    assert one(spark, T.usable_thai("t"), t="ชื่อ\tจำนวน\nข้าว\t10") and not one(spark, T.usable_thai("t", 6, 0.25), t="A B C ข้าว")
+    assert one(spark, T.refuse_latin("t", F.lit("tha+eng")), t=" BCDFGHJKLMNPQR ") == "" and one(spark, T.refuse_latin("t", F.lit("eng")), t=" BCDFGHJKLMNPQR ") == "BCDFGHJKLMNPQR"
+
+
+def test_lines_by_the_first_segment_s_height(spark):
+    rows = [(1, 0, t, 0.9, (float(x), c - h / 2, x + 9.0, c + h / 2)) for x, (t, c, h) in enumerate((("a", 5.0, 10.0), ("b", 11.0, 40.0), ("c", 19.0, 10.0)))]
+    assert [r.text for r in layout.segments_to_lines(spark.createDataFrame(rows, SEGMENT)).orderBy("line").collect()] == ["a b", "c"]
+
+
+def test_rects(spark):
+    assert tuple(one(spark, G.rect_of(F.array(*map(F.lit, (1.0, 2.0, 3.0, 4.0, 5.0)))))) == (1.0, 2.0, 3.0, 4.0) and one(spark, G.rect_of(F.array(F.lit(1.0)))) is None

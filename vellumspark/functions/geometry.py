@@ -37,6 +37,11 @@ def quad_to_rect(quad: Column) -> Column:
     return F.when(ok, box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
 
 
+def rect_of(numbers: Column) -> Column:
+    """array<double> of x0, y0, x1, y1 to a box; null if there are fewer."""
+    return F.when(F.size(numbers) >= 4, box(*(F.get(numbers, k) for k in range(4))))
+
+
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
 

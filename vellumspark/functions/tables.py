@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellumspark.functions.text import escape_html, strip_, strip_tags, thai_count
+from vellumspark.functions.text import escape_html, strip_, strip_tags, thai_count, thai_hallucination
 
 
 def grid_of(plain: Column) -> Column:
@@ -40,19 +40,24 @@ def grid_of_html(html: Column) -> Column:
 
 
 def quality(grid: Column) -> Column:
-    """struct<nrows, ncols, cells, filled, fill, left_fill, thai> from the grid itself."""
+    """struct<nrows, ncols, cells, filled, fill, left_fill, thai> from the grid itself.
+
+    Cells of made-up noise are not filled, left cells need two Thai characters, and noise counts a quarter of its Thai.
+    """
     cells = F.flatten(grid)
     left = F.flatten(F.transform(grid, lambda r: F.slice(r, 1, 2)))
-    filled = lambda a: F.size(F.filter(a, lambda c: c != ""))
-    share = lambda a: F.when(F.size(a) > 0, filled(a) / F.size(a)).otherwise(0.0)
+    real = lambda c: (c != "") & ~thai_hallucination(c)
+    share = lambda a, ok: F.size(F.filter(a, ok)) / F.greatest(F.size(a), F.lit(1))
+    plain = F.array_join(cells, " ")
+    thai = thai_count(plain) * F.when(thai_hallucination(plain), 0.25).otherwise(1.0)
     return F.struct(
         F.size(grid).alias("nrows"), F.coalesce(F.array_max(F.transform(grid, F.size)), F.lit(0)).alias("ncols"), F.size(cells).alias("cells"),
-        filled(cells).alias("filled"), share(cells).alias("fill"), share(left).alias("left_fill"), thai_count(F.array_join(cells, "")).alias("thai"),
+        F.size(F.filter(cells, real)).alias("filled"), share(cells, real).alias("fill"), share(left, lambda c: real(c) & (thai_count(c) >= 2)).alias("left_fill"), thai.alias("thai"),
     )
 
 
 def weak(q: Column) -> Column:
-    return (q["thai"] < 80) | (q["left_fill"] < 0.35) | (q["fill"] < 0.45) | ((q["ncols"] >= 3) & (q["nrows"] < 18) & (q["left_fill"] < 0.5))
+    return (q["thai"] < 80) | (q["left_fill"] < 0.35) | (q["fill"] < 0.45) | ((q["ncols"] >= 3) & (q["nrows"] < 18) & ((q["left_fill"] < 0.55) | (q["thai"] < 200)))
 
 
 def columns_are_duplicates(grid: Column) -> Column:

@@ -4,6 +4,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellumspark.options import BLANK_CELL_PHRASES, NAME_PHRASES, PRODUCTS
+
 THAI = "\\u0E00-\\u0E7F"
 SPACE = r"(?U)\s+"
 
@@ -49,15 +51,19 @@ def fix_thai_spacing(text) -> Column:
 
 
 def clean_text(text) -> Column:
-    """Control and zero-width characters go, Thai digits become ASCII, rules of signs go, blanks collapse, lines are trimmed.
+    """Control and zero-width characters go, Thai digits become ASCII, rules of signs go, blanks collapse, lines are
+    trimmed, and blank ones go. In Thai text, spaces and repeated marks go and split vowels are put together.
 
-    Canonical composition is not part of it: `compose` is a pandas function for the rows that need it.
+    Canonical composition is not part of it: `compose` is a pandas function for the rows that need it. Junk lexicons are
+    the caller's.
     """
-    t = F.regexp_replace(_col(text), r"[\x00-\x08\x0b\x0c\x0e-\x1f​‌‍﻿]", "")
-    t = fix_thai_spacing(arabic_digits(t))
-    t = F.regexp_replace(t, r"(?m)^[ \t]*[_\-]{4,}[ \t]*$", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t ]+", " "), r"(?m)^ | $", "")
-    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+    t = F.regexp_replace(_col(text), r"[\x00-\x08\x0b\x0c\x0e-\x1f\u200b\u200c\u200d\ufeff]", "")
+    t = F.array_join(F.filter(F.split(arabic_digits(t), "\n"), lambda x: ~x.rlike(r"(?U)^[\s_\-]{4,}$")), "\n")
+    t = fix_thai_spacing(t)
+    t = F.regexp_replace(t, "([\u0E31\u0E34-\u0E3A\u0E47-\u0E4E])\\1+", "$1")
+    t = F.replace(F.replace(t, F.lit("\u0E4D\u0E32"), F.lit("\u0E33")), F.lit("\u0E40\u0E40"), F.lit("\u0E41"))
+    t = F.regexp_replace(t, r"(?U)[^\S\n]+", " ")
+    return F.array_join(F.filter(F.transform(F.split(t, "\n"), strip_), lambda x: x != ""), "\n")
 
 
 def join_lines(text) -> Column:
@@ -84,10 +90,14 @@ def is_stub(text) -> Column:
     return (F.length(t) <= 14) & t.rlike(r"^\d{1,2}(?:[.)]\d{0,2})?[.)]?\s*$")
 
 
+# How section headings, a numbered chart caption, an appendix and a glossary begin.
+HEADER = r"^(\d{1,2}\.\d{1,2}\s+\S|\d{1,2}\.\s+\S|\d{1,2}\)\s*แผนภูมิ|ภาคผนวก\s|อภิธานศัพท์$)"
+
+
 def is_header(text) -> Column:
-    """Up to 90 characters that begin like a section, a chapter, a numbered chart caption, an appendix or a glossary."""
+    """Up to 90 characters that begin like a section, a numbered chart caption, an appendix or a glossary."""
     t = strip_(text)
-    return (F.length(t) <= 90) & t.rlike(r"(?i)^(\d{1,2}\.(\d{1,2})?\s+\S|chapter\s+\d|appendix\b|glossary\b)")
+    return (t != "") & (F.length(t) <= 90) & t.rlike(HEADER)
 
 
 def text_layer_reliable(text, thai: bool = False) -> Column:
@@ -108,6 +118,64 @@ def weak_thai(text) -> Column:
     return (n < 8) | is_stub(t) | (thai < F.greatest(F.lit(4), F.floor(n / 5))) | ((latin > 2 * thai) & (latin > 20))
 
 
+def usable_thai(text, least: int = 3, density: float = 0.15) -> Column:
+    """Enough real Thai, not a single stray letter."""
+    return (thai_count(text) >= least) & (thai_density(text) >= density)
+
+
+def _caps_soup(t: Column) -> Column:
+    c = "[BCDFGHJKLMNPQRSTVWXYZ]"
+    return t.rlike(rf"(?:{c}{{6,}}){{2,}}|\b{c}{{10,}}\b")
+
+
+def healthy_latin(text) -> Column:
+    """Words of a Latin language or a product's name: vowels and word breaks, or lower case, or a short name in capitals."""
+    t = strip_(F.coalesce(_col(text), F.lit("")))
+    letters, vowels, upper = count_of(t, "\\p{L}"), count_of(t, "aeiouAEIOU"), count_of(t, "\\p{Lu}")
+    spaces = count_of(t, " \\n\\t")
+    words = (vowels >= F.greatest(F.lit(1), F.floor(letters / 8))) & ((spaces >= 1) | (letters <= 24)) & ((upper / F.greatest(letters, F.lit(1)) < 0.85) | (spaces >= 2))
+    label = (letters <= 40) & t.rlike("[a-z]") & ~_caps_soup(F.upper(t))
+    name = letters.between(2, 8) & (vowels >= 1) & (spaces == 0) & (upper == letters)
+    return (t != "") & (t.rlike("(?i)^(?:" + "|".join(PRODUCTS) + ")$") | ((letters >= 2) & (words | label | name)))
+
+
+def thai_hallucination(text) -> Column:
+    """Noise that a recogniser makes up for blank cells: runs of marks, known phrases, short Thai among signs."""
+    t = strip_(F.coalesce(_col(text), F.lit("")))
+    thai, junk = thai_count(t), count_of(t, r"!@#$%\^&*_'=<>")
+    signs = (thai >= 4) & (((junk >= 2) & (thai < 20)) | ((junk >= 1) & (thai < 12) & (F.length(t) <= 24)))
+    return t.rlike(r"[!_]{2,}|\*{2,}|'{2,}|" + "|".join(BLANK_CELL_PHRASES)) | signs
+
+
+def plausible_cell(text) -> Column:
+    """Whether a table cell's text may be real: Latin words, a number, some Thai, or a short code with a digit."""
+    t = strip_(F.coalesce(_col(text), F.lit("")))
+    compact = norm_key(t)
+    kinds = F.size(F.array_distinct(F.filter(F.split(compact, ""), lambda c: c != "")))
+    latin, thai = count_of(t, "A-Za-z"), thai_count(t)
+    digits = F.regexp_replace(compact, "[.,]", "").rlike(r"(?U)^\d+$")
+    real = healthy_latin(t) | (~((latin > 6) & (latin > thai * 1.5)) & (digits | (thai >= 2) | ((F.length(compact) <= 6) & compact.rlike(r"(?U)\d"))))
+    return (t != "") & ~thai_hallucination(t) & ~((F.length(compact) >= 4) & (kinds <= 2)) & real
+
+
+def garbled_for_thai(text, tokens: tuple[str, ...] = ()) -> Column:
+    """Latin gibberish that a recogniser makes of Thai; empty text and real Latin words are not. `tokens`: known gibberish."""
+    t = F.coalesce(_col(text), F.lit(""))
+    letters, vowels, upper = count_of(t, "\\p{L}"), count_of(t, "aeiouAEIOU"), count_of(t, "\\p{Lu}")
+    known = F.exists(F.array(*map(F.lit, tokens)), lambda x: F.upper(norm_key(t)).contains(x)) if tokens else F.lit(False)
+    soup = _caps_soup(F.upper(t)) & (vowels <= letters * 0.12) & (count_of(t, " ") <= 1)
+    crumbs = (thai_count(t) == 0) & (upper >= letters * 0.75) & (vowels <= F.greatest(F.lit(1), F.floor(letters / 6)))
+    residue = (letters >= 8) & (letters < 12) & (thai_count(t) == 0) & (count_of(t, "\\p{Nd}") / F.greatest(F.length(strip_(t)), F.lit(1)) > 0.45)
+    latin = ~usable_thai(t) & (known | (~healthy_latin(t) & (letters >= 6) & (soup | crumbs | residue)))
+    return (strip_(t) != "") & (t.rlike("|".join(NAME_PHRASES)) | latin)
+
+
+def refuse_latin(text, languages) -> Column:
+    """The trimmed text, or nothing where Thai is wanted and the text is gibberish."""
+    t = strip_(F.coalesce(_col(text), F.lit("")))
+    return F.when(wants_thai(languages) & garbled_for_thai(t), F.lit("")).otherwise(t)
+
+
 def strip_tags(html, by: str = " ") -> Column:
     return F.regexp_replace(_col(html), "<[^>]+>", by)
 
@@ -151,11 +219,16 @@ def thai_join(parts) -> Column:
     return F.aggregate(F.filter(F.transform(_col(parts), strip_), lambda p: p != ""), F.lit(""), step)
 
 
+def wants_thai(language) -> Column:
+    """Whether a list of language codes has Thai."""
+    codes = F.lower(F.coalesce(_col(language), F.lit("")))
+    return F.array_contains(F.split(codes, r"[+\s,]+"), "th") | codes.contains("tha")
+
+
 def route_engine(requested, language) -> Column:
     """A named engine runs alone; else Thai goes to the Thai engine, all other languages to the multilingual one."""
     asked = F.lower(F.coalesce(_col(requested), F.lit("auto")))
-    thai = F.array_contains(F.split(F.lower(F.coalesce(_col(language), F.lit(""))), r"[+\s,]+"), "th") | F.lower(_col(language)).contains("tha")
-    return F.when(asked != "auto", asked).when(F.coalesce(thai, F.lit(False)), F.lit("thai")).otherwise("multilingual")
+    return F.when(asked != "auto", asked).when(wants_thai(language), F.lit("thai")).otherwise("multilingual")
 
 
 def token_jaccard(a, b) -> Column:

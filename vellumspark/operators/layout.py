@@ -20,13 +20,22 @@ def _pairs(left: DataFrame, right: DataFrame, how: str, *conditions: Column) ->
 
 
 def suppress_text(regions: DataFrame, page_area: float, o: Options = Options()) -> DataFrame:
-    """Regions without the text that a table covers, or that a figure holds by centre and cover."""
+    """Regions without the text that a table covers, or that a figure holds by centre and cover.
+
+    Headings (numbered, or naming a chart) always stay, and a table or figure without content covers nothing: regions
+    may have `text`, and `filled` (false: no content). Regions without a box stay.
+    """
     a, b = F.col("l.box"), F.col("r.box")
     covered = G.cover(a, b)
     by_figure = F.when(G.area(b) > page_area * o.large_figure_share, o.large_figure_cover).otherwise(o.figure_cover)
     hit = ((F.col("r.category") == "table") & (covered > o.table_cover)) | ((F.col("r.category") == "figure") & G.centre_inside(a, b) & (covered > by_figure))
     is_text = F.col("category").isin("text", "caption")
-    kept = _pairs(regions.where(is_text), regions.where(F.col("category").isin("table", "figure")), "left_anti", hit)
+    if "text" in regions.columns:
+        is_text = is_text & ~F.coalesce(T.strip_("text").rlike(r"^\d{1,2}\.\d{0,2}|^\d{1,2}\)\s|" + o.chart_label), F.lit(False))
+    holds = F.col("category").isin("table", "figure")
+    if "filled" in regions.columns:
+        holds = holds & F.col("filled")
+    kept = _pairs(regions.where(is_text), regions.where(holds), "left_anti", hit)
     return kept.unionByName(regions.where(~is_text))
 
 
@@ -52,9 +61,15 @@ def nearest_marker(markers: DataFrame, bodies: DataFrame, page_height: float, o:
 
 
 def missing_markers(markers: DataFrame, lines: DataFrame) -> DataFrame:
-    """Markers (doc_id, token) that no line of their document has, with digit boundaries."""
-    escaped = F.replace(F.replace(F.col("l.token"), F.lit("."), F.lit("\\.")), F.lit(")"), F.lit("\\)"))
-    found = F.rlike(F.col("r.text"), F.concat(F.lit("(?<![0-9])"), escaped, F.lit("(?![0-9])")))
+    """Markers (doc_id, token) that no line of their document has; Thai digits count as ASCII ones.
+
+    `N)` must have no digit before it, `X.Y` none on either side, other tokens just stand there.
+    """
+    token, text = F.trim(F.col("l.token")), T.arabic_digits("r.text")
+    escaped = F.replace(F.replace(token, F.lit("."), F.lit("\\.")), F.lit(")"), F.lit("\\)"))
+    before = F.concat(F.lit("(?<![0-9])"), escaped)
+    exact = F.when(token.endswith(")"), F.rlike(text, before)).when(token.rlike(r"^[0-9]{1,2}\.[0-9]{1,2}$"), F.rlike(text, F.concat(before, F.lit("(?![0-9])")))).otherwise(True)
+    found = (token != "") & text.contains(token) & exact  # the plain test goes first: most lines have no such token
     return markers.alias("l").join(lines.alias("r"), (F.col("l.doc_id") == F.col("r.doc_id")) & found, "left_anti")
 
 
@@ -166,39 +181,61 @@ def non_maximum(regions: DataFrame, o: Options = Options()) -> DataFrame:
 
 
 def reading_order(lines: DataFrame, page_width: float, order: str = "columns") -> DataFrame:
-    """Rank of each line on its page: two columns where the page shows them (`columns`), else by top and left edge."""
+    """Rank of each line on its page: two columns where the page shows them (`columns`), else by top and left edge.
+
+    A page has two columns if two lines or more begin on each side and the left edges of the sides lie a tenth of it apart.
+    """
     page = Window.partitionBy(*PAGE)
     left = F.col("x0") + 50 < page_width / 2
     side = lambda c, f, v: f(F.when(c, F.col(v))).over(page)
-    two = (F.count_if(left).over(page) >= 2) & (F.count_if(~left).over(page) >= 2) & (side(~left, F.min, "x0") - side(left, F.max, "x1") > page_width * 0.1)
+    two = (F.count_if(left).over(page) >= 2) & (F.count_if(~left).over(page) >= 2) & (side(~left, F.min, "x0") - side(left, F.max, "x0") > page_width * 0.1)
     column = F.when(two & ~left & F.lit(order == "columns"), 1).otherwise(0)
     rows = lines.withColumn("col", F.coalesce(column, F.lit(0)))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*PAGE).orderBy("col", "y0", "x0", "ln")))
 
 
 def top_structure(regions: DataFrame, o: Options = Options()) -> DataFrame:
-    """The largest figures (none far smaller than the largest) and tables of each page."""
+    """The largest figures (none far smaller than the largest) and the tables with most content of each page.
+
+    A table's content is its `html` and `text`; those without any go.
+    """
+    size = F.length(F.coalesce("html", F.lit(""))) + F.length(F.coalesce("text", F.lit("")))
     rows = regions.where(F.col("category").isin("figure", "table")).withColumn("area", G.area(F.col("box")))
+    rows = rows.withColumn("weight", F.when(F.col("category") == "figure", F.col("area")).otherwise(size)).where("category = 'figure' or weight > 0")
     of = Window.partitionBy(*PAGE, "category")
-    rows = rows.withColumns({"k": F.row_number().over(of.orderBy(F.desc("area"), "ord")), "largest": F.max("area").over(of)})
-    figure = (F.col("category") == "figure") & (F.col("k") <= o.figures_per_page) & (F.col("area") >= o.smallest_figure_share * F.col("largest"))
+    rows = rows.withColumns({"k": F.row_number().over(of.orderBy(F.desc("weight"), "ord")), "largest": F.max("area").over(of)})
+    figure = (F.col("category") == "figure") & (F.col("k") <= o.figures_per_page) & (F.col("area") >= F.greatest(o.smallest_figure_share * F.col("largest"), F.lit(1.0)))
     return rows.where(figure | ((F.col("category") == "table") & (F.col("k") <= o.tables_per_page))).drop("k", "largest")
 
 
+def prune_structure(regions: DataFrame, o: Options = Options()) -> DataFrame:
+    """All other regions, and of each document the greatest few of its pages' top figures and tables."""
+    of = Window.partitionBy("doc_id", "category").orderBy(F.desc("weight"), "page", "ord")
+    most = F.when(F.col("category") == "figure", o.figures_per_document).otherwise(o.tables_per_document)
+    top = top_structure(regions, o).withColumn("k", F.row_number().over(of)).where(F.col("k") <= most).select(*regions.columns)
+    return regions.where(~F.col("category").isin("figure", "table")).unionByName(top)
+
+
 def paragraphs(lines: DataFrame) -> DataFrame:
-    """Lines joined while the gap is small, the line before reaches far right and the indent is small; numbered items break."""
+    """Lines joined to paragraphs, in order of height: small gap, the line before reaches far right, small indent.
+
+    Reach and indent are shares of the block, which is the page. A Thai word that goes on in the next line joins as well,
+    over a wider gap, unless a mark ends the line. Numbered items begin a paragraph; blank lines are left out.
+    """
     by = Window.partitionBy(*PAGE).orderBy("y0", "ln")
     page = Window.partitionBy(*PAGE)
-    h = F.greatest(F.col("y1") - F.col("y0"), F.lit(1))
-    width = F.greatest(F.max("x1").over(page) - F.min("x0").over(page), F.lit(1))
+    filled = lines.withColumns({"lo": F.min("x0").over(page), "hi": F.max("x1").over(page), "raw": T.strip_("text")}).where("raw <> ''")
+    width = F.greatest((F.col("hi") - F.col("lo")).cast("double"), F.lit(1e-6))
     prev = lambda c: F.lag(c).over(by)
-    near = (F.col("y0") - prev("y1")) < 0.85 * h
-    reach = (prev("x1") - F.min("x0").over(page)) >= 0.8 * width
-    indent = (F.col("x0") - prev("x0")) < 0.35 * width
-    numbered = F.col("text").rlike(r"^\s*\d{1,2}\s*[.)]")
-    flagged = lines.withColumn("starts", F.when(F.coalesce(near & reach & indent & ~numbered, F.lit(False)), 0).otherwise(1))
+    height = F.greatest((prev("y1") - prev("y0")).cast("double"), F.lit(1e-6))
+    gap, indent = F.col("y0") - prev("y1"), (F.col("x0") - F.col("lo")) / width
+    wrapped = (gap < 0.85 * height) & ((prev("x1") - F.col("lo")) / width >= 0.8) & (indent < 0.35)
+    thai = prev("raw").rlike(f"[{T.THAI}]$") & F.col("raw").rlike(f"^[{T.THAI}]") & ~prev("raw").rlike("[.):;ๆ,]$")
+    numbered = F.col("raw").rlike(r"^\d{1,2}[.)]")
+    joins = (wrapped | (thai & (gap < 1.45 * height) & (indent < 0.4))) & ~numbered
+    flagged = filled.withColumn("starts", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
     return flagged.withColumn("paragraph", F.sum("starts").over(by)).groupBy(*PAGE, "paragraph").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "text"))), lambda s: s["text"]), " ").alias("text"), F.count(F.lit(1)).alias("n_lines")
+        T.thai_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "raw"))), lambda s: s["raw"])).alias("text"), F.count(F.lit(1)).alias("n_lines")
     )
 
 
@@ -211,19 +248,20 @@ def cluster_positions(points: DataFrame, gap: int) -> DataFrame:
 
 def segments_to_lines(segments: DataFrame, o: Options = Options()) -> DataFrame:
     """Segments (doc_id, page, text, conf, box) to lines: a segment joins the open line if its centre is near the centre of
-    the line's FIRST segment. Unsure, blank and box-less segments go. An ordered fold over the page's sorted segments."""
+    the line's FIRST segment, by the greater of those two heights. Unsure, blank and box-less segments go. An ordered fold
+    over the page's sorted segments."""
     ok = F.col("box").isNotNull() & (T.strip_("text") != "") & (F.col("conf").isNull() | (F.col("conf") >= o.min_confidence))
     cy, h = (F.col("box.y0") + F.col("box.y1")) / 2, F.col("box.y1") - F.col("box.y0")
     item = F.struct(cy.alias("cy"), F.col("box.x0").alias("x0"), h.alias("h"), F.col("text"), F.col("box"), F.coalesce("conf", F.lit(1.0)).alias("conf"))
     pages = segments.where(ok).groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    # the fold numbers lines: it keeps each line's first centre and greatest height, and gives every segment its line
+    # the fold numbers lines: it keeps each line's first centre and height, and gives every segment its line
     start = F.struct(F.lit(None).cast("double").alias("cy"), F.lit(0.0).alias("h"), F.lit(0).alias("line"), F.array().cast("array<int>").alias("lines"))
 
     def step(acc, x):
         height = F.greatest(acc["h"], x["h"])
         same = F.coalesce(F.abs(x["cy"] - acc["cy"]) <= o.line_tolerance * height, F.lit(False))
         line = F.when(same, acc["line"]).otherwise(acc["line"] + 1)
-        return F.struct(F.when(same, acc["cy"]).otherwise(x["cy"]).alias("cy"), F.when(same, height).otherwise(x["h"]).alias("h"), line.alias("line"), F.concat(acc["lines"], F.array(line)).alias("lines"))
+        return F.struct(F.when(same, acc["cy"]).otherwise(x["cy"]).alias("cy"), F.when(same, acc["h"]).otherwise(x["h"]).alias("h"), line.alias("line"), F.concat(acc["lines"], F.array(line)).alias("lines"))
 
     folded = pages.select(*PAGE, F.explode(F.arrays_zip("items", F.aggregate("items", start, step, lambda a: a["lines"]).alias("line"))).alias("z"))
     rows = folded.select(*PAGE, "z.line", "z.items.*")
@@ -250,9 +288,12 @@ def merge_softwraps(lines: DataFrame) -> DataFrame:
 
 
 def page_statistics(lines: DataFrame) -> DataFrame:
+    """By page: lines, filled ones, characters (trimmed), visible ones, Thai ones, extent. `html` of tables, where there is
+    such a column, counts with its tags stripped."""
+    html = T.strip_tags(F.coalesce("html", F.lit("")), "") if "html" in lines.columns else F.lit("")
     return lines.groupBy(*PAGE).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(T.strip_("text") != "").alias("n_filled"), F.sum(F.length("text")).alias("n_chars"),
-        F.sum(F.length(T.norm_key("text"))).alias("n_visible"), F.sum(T.thai_count("text")).alias("n_thai"), F.max("x1").alias("right"), F.max("y1").alias("bottom"),
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(T.strip_("text") != "").alias("n_filled"), F.sum(F.length(T.strip_("text")) + F.length(html)).alias("n_chars"),
+        F.sum(F.length(T.norm_key("text"))).alias("n_visible"), F.sum(T.thai_count("text") + T.thai_count(html)).alias("n_thai"), F.max("x1").alias("right"), F.max("y1").alias("bottom"),
     )
 
 

@@ -20,6 +20,8 @@ class Options:
     embedded_overlap: float = 0.40
     figures_per_page: int = 2
     tables_per_page: int = 1
+    figures_per_document: int = 2
+    tables_per_document: int = 2
     smallest_figure_share: float = 0.08
     marker_reach: float = 0.10
     near_rows: int = 12
@@ -37,7 +39,10 @@ LABEL_IDS = {
     "title": 0, "plain text": 1, "abandon": 2, "figure": 3, "figure_caption": 4,
     "table": 5, "table_caption": 6, "table_footnote": 7, "isolate_formula": 8, "formula_caption": 9,
 }
-# Page sizes in inches and margins in inches.
+# Page sizes in inches.
 PAGE_SIZES = {"A4": (8.27, 11.69), "Letter": (8.5, 11.0), "Legal": (8.5, 14.0), "A3": (11.69, 16.54)}
-# Render scale of each quality preset.
-SCALES = {"fast": 5.0, "balanced": 7.5, "accurate": 10.0}
+# Names of products that count as healthy Latin text in any case.
+PRODUCTS = ("ESET", "MySQL", "MS\\s*SQL", "SQL", "PC", "Plotter", "Firewall", "VMware", "Windows", "Office", "Server", "Multifunction")
+# Phrases that a Thai recogniser makes up for blank cells, and for names.
+BLANK_CELL_PHRASES = ("ยอมแพ้", "สังคมพิสูจน์", "ทหารบก", "เชื้อพระวงศ์", "จอมพล", "ตาแหนง", "ด้านข้างราชการ", "วรรณจัก", "บล้มเหลว")
+NAME_PHRASES = ("นางสาวศาสตราจารย์", "พรรณตำบล", "โสภณเพ็ญ", "วรรทวรร")

@@ -43,20 +43,33 @@ def _regions(spark, sf):
     return regions_of(table(spark, sf, "events"))
 
 
+#: Every fifth line of the Thai stand-in has Thai letters and marks instead of vowels.
+_TO_THAI = ("aeiouAEIOU", "กาขคงตัดี่๒")
+_THAI = f"thai AS (SELECT * REPLACE (CASE WHEN ln % 5 = 0 THEN translate(text, '{_TO_THAI[0]}', '{_TO_THAI[1]}') ELSE text END AS text) FROM lines)"
+
+
+def _thai_lines(spark, sf):
+    return _lines(spark, sf).withColumn("text", F.when(F.col("ln") % 5 == 0, F.translate("text", *_TO_THAI)).otherwise(F.col("text")))
+
+
 _flat = lambda df: df.select(*(c for c in df.columns if c != "box"), F.col("box.x0").alias("x0"), F.col("box.y0").alias("y0"), F.col("box.x1").alias("x1"), F.col("box.y1").alias("y1"))
 
 
-@_query(f"""WITH {_LINES}, keyed AS (SELECT *, regexp_replace(text, '{_WS}+', '', 'g') AS k FROM lines),
-    kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, k ORDER BY length(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g')) DESC, y0, x0, ln) AS n FROM keyed)
-    SELECT doc_id, CAST(page AS INTEGER) AS page, count(*) AS n_lines, count(*) FILTER (WHERE k <> '') AS n_filled, CAST(sum(length(text)) AS BIGINT) AS n_chars,
-        CAST(sum(length(k)) AS BIGINT) AS n_visible, CAST(0 AS BIGINT) AS n_thai, max(x1) AS "right", max(y1) AS bottom FROM kept WHERE n = 1 OR k = '' GROUP BY doc_id, page""")
+@_query(f"""WITH {_LINES}, {_THAI}, keyed AS (SELECT *, regexp_replace(text, '{_WS}+', '', 'g') AS k, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS s, length(regexp_replace(text, '[^\\x{{0E00}}-\\x{{0E7F}}]', '', 'g')) AS th FROM thai),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, k ORDER BY th + length(s) DESC, y0, x0, ln) AS n FROM keyed)
+    SELECT doc_id, CAST(page AS INTEGER) AS page, count(*) AS n_lines, count(*) FILTER (WHERE k <> '') AS n_filled, CAST(sum(length(s)) AS BIGINT) AS n_chars,
+        CAST(sum(length(k)) AS BIGINT) AS n_visible, CAST(sum(th) AS BIGINT) AS n_thai, max(x1) AS "right", max(y1) AS bottom FROM kept WHERE n = 1 OR k = '' GROUP BY doc_id, page""")
 def page_statistics(spark, sf):
-    return layout.page_statistics(layout.dedup_exact(_lines(spark, sf)))
+    return layout.page_statistics(layout.dedup_exact(_thai_lines(spark, sf)))
 
 
-@_query(f"WITH {_LINES} SELECT doc_id, ln, trim(regexp_replace(text, '[ \\t\\x{{00A0}}]+', ' ', 'g'), ' ') AS text FROM lines")
+@_query(f"""WITH {_LINES}, {_THAI}, a AS (SELECT doc_id, ln, translate(text, '๐๑๒๓๔๕๖๗๘๙', '0123456789') AS t FROM thai),
+    b AS (SELECT doc_id, ln, CASE WHEN regexp_full_match(t, '(?:{_WS}|[_-]){{4,}}') THEN '' ELSE t END AS t FROM a),
+    c AS (SELECT doc_id, ln, regexp_replace(regexp_replace(t, '([\\x{{0E00}}-\\x{{0E7F}}]){_WS}+', '\\1' || chr(1), 'g'), chr(1) || '([^\\x{{0E00}}-\\x{{0E7F}}]|$)', ' \\1', 'g') AS t FROM b),
+    d AS (SELECT doc_id, ln, list_reduce([replace(t, chr(1), '')] || ['ั', 'ิ', 'ี', 'ึ', 'ื', 'ุ', 'ู', 'ฺ', '็', '่', '้', '๊', '๋', '์', 'ํ', '๎'], lambda x, m: regexp_replace(x, m || '{{2,}}', m, 'g')) AS t FROM c)
+    SELECT doc_id, ln, regexp_replace(regexp_replace(replace(replace(t, 'ํา', 'ำ'), 'เเ', 'แ'), '{_WS}+', ' ', 'g'), '^ | $', '', 'g') AS text FROM d""")
 def clean_lines(spark, sf):
-    return _lines(spark, sf).select("doc_id", "ln", T.clean_text("text").alias("text"))
+    return _thai_lines(spark, sf).select("doc_id", "ln", T.clean_text("text").alias("text"))
 
 
 @_query(f"""WITH c AS (SELECT doc_id, text, length(text) AS n, length(regexp_replace(text, '[^\\x{{FFFD}}]', '', 'g')) AS broken, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters,
@@ -90,21 +103,26 @@ def marker_keys(spark, sf):
     return e.select("event_id", token.alias("token")).select("event_id", "token", T.valid_marker("token").alias("valid"), T.marker_key("token").alias("marker"))
 
 
-_MARKERS = "m(token) AS (VALUES ('1.'), ('2.1'), ('3)'), ('42'), ('7.'))"
+_MARKERS = "m(token) AS (VALUES ('1.'), ('2.1'), ('3)'), ('42'), ('7.'), ('2'))"
 
 
-@_query(f"""WITH {_LINES}, {_MARKERS}, wanted AS (SELECT doc_id, token FROM documents, m)
-    SELECT doc_id, token FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = w.doc_id AND regexp_matches(l.text, '(^|[^0-9])' || replace(replace(w.token, '.', '\\.'), ')', '\\)') || '($|[^0-9])'))""")
+@_query(f"""WITH {_LINES}, {_THAI}, {_MARKERS}, wanted AS (SELECT doc_id, token, replace(replace(token, '.', '\\.'), ')', '\\)') AS e FROM documents, m),
+    read AS (SELECT doc_id, translate(text, '๐๑๒๓๔๕๖๗๘๙', '0123456789') AS text FROM thai)
+    SELECT doc_id, token FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM read l WHERE l.doc_id = w.doc_id AND CASE WHEN w.token LIKE '%)' THEN regexp_matches(l.text, '(^|[^0-9])' || w.e)
+        WHEN regexp_full_match(w.token, '[0-9]{{1,2}}\\.[0-9]{{1,2}}') THEN regexp_matches(l.text, '(^|[^0-9])' || w.e || '($|[^0-9])') ELSE contains(l.text, w.token) END)""")
 def missing_markers(spark, sf):
     docs = table(spark, sf, "documents")
-    wanted = docs.select("doc_id", F.explode(F.array(*map(F.lit, ("1.", "2.1", "3)", "42", "7.")))).alias("token"))
-    return layout.missing_markers(wanted, _lines(spark, sf).select("doc_id", "text"))
+    wanted = docs.select("doc_id", F.explode(F.array(*map(F.lit, ("1.", "2.1", "3)", "42", "7.", "2")))).alias("token"))
+    return layout.missing_markers(wanted, _thai_lines(spark, sf).select("doc_id", "text"))
 
 
-@_query(f"""WITH {_LINES}, t AS (SELECT *, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS s FROM lines)
-    SELECT doc_id, ln, length(s) <= 90 AND regexp_matches(s, '(?i)^(\\d{{1,2}}\\.(\\d{{1,2}})?\\s+\\S|chapter\\s+\\d|appendix\\b|glossary\\b)') AS header FROM t""")
+_HEADED = "CASE ln % 6 WHEN 1 THEN '2.1 ' WHEN 2 THEN '3. ' WHEN 3 THEN '7) แผนภูมิ' WHEN 4 THEN 'ภาคผนวก ' ELSE '' END || text"
+
+
+@_query(f"""WITH {_LINES}, t AS (SELECT doc_id, ln, regexp_replace({_HEADED}, '^{_WS}+|{_WS}+$', '', 'g') AS s FROM lines)
+    SELECT doc_id, ln, s <> '' AND length(s) <= 90 AND regexp_matches(s, '^([0-9]{{1,2}}\\.[0-9]{{1,2}}\\s+\\S|[0-9]{{1,2}}\\.\\s+\\S|[0-9]{{1,2}}\\)\\s*แผนภูมิ|ภาคผนวก\\s|อภิธานศัพท์$)') AS header FROM t""")
 def header_lines(spark, sf):
-    return _lines(spark, sf).select("doc_id", "ln", T.is_header("text").alias("header"))
+    return _lines(spark, sf).select("doc_id", "ln", T.is_header(F.expr(_HEADED)).alias("header"))
 
 
 _SPLIT = "split AS (SELECT doc_id, page, ln, CASE WHEN ln % 2 = 1 THEN 520 ELSE x0 END AS x0, CASE WHEN ln % 2 = 1 THEN 900 ELSE least(x1, 400) END AS x1, y0, y1 FROM lines)"
@@ -112,7 +130,7 @@ _SPLIT = "split AS (SELECT doc_id, page, ln, CASE WHEN ln % 2 = 1 THEN 520 ELSE
 
 @_query(f"""WITH {_LINES}, {_SPLIT}, sides AS (SELECT *, x0 + 50 < 470 AS lft FROM split),
     flags AS (SELECT *, count(*) FILTER (WHERE lft) OVER p >= 2 AND count(*) FILTER (WHERE NOT lft) OVER p >= 2
-        AND min(CASE WHEN NOT lft THEN x0 END) OVER p - max(CASE WHEN lft THEN x1 END) OVER p > 94 AS two FROM sides WINDOW p AS (PARTITION BY doc_id, page)),
+        AND min(CASE WHEN NOT lft THEN x0 END) OVER p - max(CASE WHEN lft THEN x0 END) OVER p > 94 AS two FROM sides WINDOW p AS (PARTITION BY doc_id, page)),
     cols AS (SELECT *, CASE WHEN coalesce(two, false) AND NOT lft THEN 1 ELSE 0 END AS col FROM flags)
     SELECT doc_id, CAST(page AS INTEGER) AS page, ln, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY col, y0, x0, ln) AS INTEGER) AS rank FROM cols""")
 def reading_order(spark, sf):
@@ -121,21 +139,40 @@ def reading_order(spark, sf):
     return layout.reading_order(rows, 940).select("doc_id", "page", "ln", "rank")
 
 
-@_query(f"""WITH {_LINES}, w AS (SELECT *, lag(y1) OVER o AS py1, lag(x1) OVER o AS px1, lag(x0) OVER o AS px0, min(x0) OVER p AS lo, greatest(max(x1) OVER p - min(x0) OVER p, 1) AS width
-        FROM lines WINDOW o AS (PARTITION BY doc_id, page ORDER BY y0, ln), p AS (PARTITION BY doc_id, page)),
-    f AS (SELECT *, CASE WHEN coalesce(y0 - py1 < 0.85 * greatest(y1 - y0, 1) AND px1 - lo >= 0.8 * width AND x0 - px0 < 0.35 * width AND NOT regexp_matches(text, '^\\s*\\d{{1,2}}\\s*[.)]'), false) THEN 0 ELSE 1 END AS starts FROM w),
+@_query(f"""WITH {_LINES}, {_THAI}, e AS (SELECT *, min(x0) OVER p AS lo, greatest(max(x1) OVER p - min(x0) OVER p, 1e-6) AS width, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS raw FROM thai WINDOW p AS (PARTITION BY doc_id, page)),
+    w AS (SELECT *, lag(y1) OVER o AS py1, lag(x1) OVER o AS px1, greatest(lag(y1) OVER o - lag(y0) OVER o, 1e-6) AS h, lag(raw) OVER o AS praw FROM e WHERE raw <> '' WINDOW o AS (PARTITION BY doc_id, page ORDER BY y0, ln)),
+    t AS (SELECT *, regexp_matches(praw, '[\\x{{0E00}}-\\x{{0E7F}}]$') AND regexp_matches(raw, '^[\\x{{0E00}}-\\x{{0E7F}}]') AS meet FROM w),
+    f AS (SELECT *, CASE WHEN coalesce(((y0 - py1 < 0.85 * h AND (px1 - lo) / width >= 0.8 AND (x0 - lo) / width < 0.35) OR (meet AND NOT regexp_matches(praw, '[.):;ๆ,]$') AND y0 - py1 < 1.45 * h AND (x0 - lo) / width < 0.4))
+        AND NOT regexp_matches(raw, '^[0-9]{{1,2}}[.)]'), false) THEN 0 ELSE 1 END AS starts FROM t),
     g AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, page ORDER BY y0, ln) AS paragraph FROM f)
-    SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(paragraph AS BIGINT) AS paragraph, string_agg(text, ' ' ORDER BY ln) AS text, count(*) AS n_lines FROM g GROUP BY doc_id, page, paragraph""")
+    SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(paragraph AS BIGINT) AS paragraph, string_agg(CASE WHEN starts = 1 THEN '' WHEN meet THEN '' ELSE ' ' END || raw, '' ORDER BY ln) AS text, count(*) AS n_lines FROM g GROUP BY doc_id, page, paragraph""")
 def lines_to_paragraphs(spark, sf):
-    return layout.paragraphs(_lines(spark, sf))
+    return layout.paragraphs(_thai_lines(spark, sf))
+
 
+@_query(f"""WITH {_LINES}, c AS (SELECT doc_id, ln, CASE ln % 7 WHEN 1 THEN '----' WHEN 2 THEN 'กาข' || left(text, 9) || '!!' WHEN 3 THEN left(text, 7) || '๙' WHEN 4 THEN '12,' || ln WHEN 5 THEN 'กาขคง' || left(text, 12) ELSE left(text, 24) END AS text FROM lines),
+    s AS (SELECT *, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS t FROM c),
+    n AS (SELECT *, length(regexp_replace(t, '[^\\x{{0E00}}-\\x{{0E7F}}]', '', 'g')) AS th, length(regexp_replace(t, '[^!@#$%^&*_''=<>]', '', 'g')) AS junk, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS latin, regexp_replace(t, '{_WS}+', '', 'g') AS k FROM s)
+    SELECT doc_id, ln, th >= 3 AND t <> '' AND th / greatest(length(t), 1) >= 0.15 AS usable,
+        regexp_matches(t, '[!_]{{2,}}|[*]{{2,}}|''{{2,}}') OR (th >= 4 AND ((junk >= 2 AND th < 20) OR (junk >= 1 AND th < 12 AND length(t) <= 24))) AS noise FROM n""")
+def text_predicates(spark, sf):
+    made = F.expr("case ln % 7 when 1 then '----' when 2 then concat('กาข', left(text, 9), '!!') when 3 then concat(left(text, 7), '๙') when 4 then concat('12,', ln) when 5 then concat('กาขคง', left(text, 12)) else left(text, 24) end")
+    return _lines(spark, sf).select("doc_id", "ln", made.alias("text")).select("doc_id", "ln", T.usable_thai("text").alias("usable"), T.thai_hallucination("text").alias("noise"))
 
-@_query(f"""WITH {_REGIONS} SELECT a.doc_id, a.page, a.ord, a.category FROM regions a WHERE a.category <> 'text' OR NOT EXISTS (
-    SELECT 1 FROM regions b WHERE b.doc_id = a.doc_id AND b.page = a.page AND ((b.category = 'table' AND {_INTER} / {_AREA('a')} > 0.72)
+
+@_query()
+def cell_predicates(spark, sf):
+    cells = _lines(spark, sf).select("doc_id", "ln", F.explode(F.slice(F.split("text", " "), 1, 4)).alias("cell"))
+    return cells.select("doc_id", "ln", "cell", T.plausible_cell("cell").alias("plausible"), T.garbled_for_thai(F.upper("cell")).alias("garbled"), T.refuse_latin("cell", F.lit("tha+eng")).alias("text"))
+
+
+@_query(f"""WITH {_REGIONS} SELECT a.doc_id, a.page, a.ord, a.category FROM regions a WHERE a.category <> 'text' OR a.ord % 7 = 0 OR NOT EXISTS (
+    SELECT 1 FROM regions b WHERE b.doc_id = a.doc_id AND b.page = a.page AND b.ord % 11 <> 0 AND ((b.category = 'table' AND {_INTER} / {_AREA('a')} > 0.72)
         OR (b.category = 'figure' AND (a.x0 + a.x1) / 2 BETWEEN b.x0 AND b.x1 AND (a.y0 + a.y1) / 2 BETWEEN b.y0 AND b.y1
             AND {_INTER} / {_AREA('a')} > CASE WHEN {_AREA('b')} > 1000000 * 0.45 THEN 0.92 ELSE 0.80 END)))""")
 def region_suppress(spark, sf):
-    return layout.suppress_text(_regions(spark, sf), 1_000_000).select("doc_id", "page", "ord", "category")
+    regions = _regions(spark, sf).withColumns({"text": F.when(F.col("ord") % 7 == 0, F.lit(" 2.1 Title")).otherwise(F.col("class")), "filled": F.col("ord") % 11 != 0})
+    return layout.suppress_text(regions, 1_000_000).select("doc_id", "page", "ord", "category")
 
 
 @_query(f"""WITH {_REGIONS} SELECT doc_id, page, ord FROM regions WHERE category <> 'text' UNION ALL
@@ -151,11 +188,25 @@ def region_nms(spark, sf):
     return _flat(layout.non_maximum(_regions(spark, sf)))
 
 
-@_query(f"""WITH {_REGIONS}, ranked AS (SELECT *, {_AREA('r')} AS area FROM regions r WHERE category <> 'text'),
-    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, category ORDER BY area DESC, ord) AS k, max(area) OVER (PARTITION BY doc_id, page, category) AS largest FROM ranked)
-    SELECT doc_id, page, ord, category, area FROM k WHERE (category = 'figure' AND k <= 2 AND area >= 0.08 * largest) OR (category = 'table' AND k <= 1)""")
+_TOP = f"""ranked AS (SELECT *, {_AREA('r')} AS area, CASE WHEN category = 'figure' THEN {_AREA('r')} ELSE (ord % 37) * (ord % 5) + length(class) * (ord % 2) END AS weight FROM regions r WHERE category <> 'text'),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, category ORDER BY weight DESC, ord) AS k, max(area) OVER (PARTITION BY doc_id, page, category) AS largest FROM ranked WHERE category = 'figure' OR weight > 0),
+    top AS (SELECT * FROM k WHERE (category = 'figure' AND k <= 2 AND area >= greatest(0.08 * largest, 1.0)) OR (category = 'table' AND k <= 1))"""
+
+
+def _contents(spark, sf):
+    html, text = F.repeat(F.repeat(F.lit("x"), (F.col("ord") % 37).cast("int")), (F.col("ord") % 5).cast("int")), F.when(F.col("ord") % 2 == 1, F.col("class"))
+    return _regions(spark, sf).withColumns({"html": html, "text": text})
+
+
+@_query(f"WITH {_REGIONS}, {_TOP} SELECT doc_id, page, ord, category, area FROM top")
 def structure_topk(spark, sf):
-    return layout.top_structure(_regions(spark, sf)).select("doc_id", "page", "ord", "category", "area")
+    return layout.top_structure(_contents(spark, sf)).select("doc_id", "page", "ord", "category", "area")
+
+
+@_query(f"""WITH {_REGIONS}, {_TOP}, d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY weight DESC, page, ord) AS n FROM top)
+    SELECT doc_id, page, ord FROM regions WHERE category = 'text' UNION ALL SELECT doc_id, page, ord FROM d WHERE n <= 2""")
+def structure_prune(spark, sf):
+    return layout.prune_structure(_contents(spark, sf)).select("doc_id", "page", "ord")
 
 
 @_query(f"""WITH {_REGIONS}, near AS (SELECT a.doc_id, a.page, a.ord, b.ord AS body, abs(a.y0 - b.y0) AS gap, row_number() OVER (PARTITION BY a.doc_id, a.page, a.ord ORDER BY abs(a.y0 - b.y0), b.ord) AS k
@@ -222,17 +273,21 @@ def html_to_blocks(spark, sf):
     return html_blocks(table(spark, sf, "pages"))
 
 
-_CELL = "CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag || l_linestatus END"
+# every second table has Thai cells; a third of its second cells are blank
+_CELL = "CASE WHEN l_linenumber % 3 = 0 THEN '' WHEN l_orderkey % 2 = 0 THEN repeat('กา', CAST(l_quantity AS INT)) ELSE l_returnflag || l_linestatus END"
 
 
-@_query(f"""WITH r AS (SELECT l_orderkey, [CAST(l_linenumber AS VARCHAR), {_CELL}, l_returnflag] AS row_ FROM lineitem),
-    c AS (SELECT l_orderkey, count(*) AS nrows, sum(len(row_)) AS cells, sum(len(list_filter(row_, lambda x: x <> ''))) AS filled, sum(len(list_filter(row_[1:2], lambda x: x <> ''))) AS lf FROM r GROUP BY l_orderkey)
-    SELECT l_orderkey, CAST(nrows AS INTEGER) AS nrows, 3 AS ncols, CAST(cells AS INTEGER) AS cells, CAST(filled AS INTEGER) AS filled, round(filled / cells, 6) AS fill, round(lf / (2 * nrows), 6) AS left_fill, true AS weak FROM c""")
+@_query(f"""WITH r AS (SELECT l_orderkey, [CASE WHEN l_orderkey % 2 = 0 THEN 'ขค' ELSE '' END || l_linenumber, {_CELL}, CASE WHEN l_linenumber = 4 THEN '!!' ELSE l_returnflag END] AS row_ FROM lineitem),
+    x AS (SELECT *, list_filter(row_, lambda x: x <> '' AND x <> '!!') AS real, list_filter(row_[1:2], lambda x: length(regexp_replace(x, '[^\\x{{0E00}}-\\x{{0E7F}}]', '', 'g')) >= 2) AS lf, length(regexp_replace(row_[1] || row_[2], '[^\\x{{0E00}}-\\x{{0E7F}}]', '', 'g')) AS th, l_orderkey % 2 = 0 AS t FROM r),
+    c AS (SELECT l_orderkey, count(*) AS nrows, sum(len(row_)) AS cells, sum(len(real)) AS filled, sum(len(lf)) / (2 * count(*)) AS left_fill, sum(th) * CASE WHEN bool_or(row_[3] = '!!') THEN 0.25 ELSE 1.0 END AS thai FROM x GROUP BY l_orderkey)
+    SELECT l_orderkey, CAST(nrows AS INTEGER) AS nrows, 3 AS ncols, CAST(cells AS INTEGER) AS cells, CAST(filled AS INTEGER) AS filled, round(filled / cells, 6) AS fill, round(left_fill, 6) AS left_fill, CAST(thai AS DOUBLE) AS thai,
+        thai < 80 OR left_fill < 0.35 OR filled / cells < 0.45 OR (nrows < 18 AND (left_fill < 0.55 OR thai < 200)) AS weak FROM c""")
 def table_quality(spark, sf):
-    row = F.concat_ws("\t", F.col("l_linenumber").cast("string"), F.expr(_CELL), "l_returnflag")
+    first = F.concat(F.when(F.col("l_orderkey") % 2 == 0, "ขค").otherwise(""), F.col("l_linenumber").cast("string"))
+    row = F.concat_ws("\t", first, F.expr(_CELL), F.when(F.col("l_linenumber") == 4, "!!").otherwise(F.col("l_returnflag")))
     plain = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("plain"))
     q = plain.select("l_orderkey", B.quality(B.grid_of(F.col("plain"))).alias("q"))
-    return q.select("l_orderkey", "q.nrows", "q.ncols", "q.cells", "q.filled", F.round("q.fill", 6).alias("fill"), F.round("q.left_fill", 6).alias("left_fill"), B.weak(F.col("q")).alias("weak"))
+    return q.select("l_orderkey", "q.nrows", "q.ncols", "q.cells", "q.filled", F.round("q.fill", 6).alias("fill"), F.round("q.left_fill", 6).alias("left_fill"), "q.thai", B.weak(F.col("q")).alias("weak"))
 
 
 @_query("""WITH c AS (SELECT l_orderkey AS table_id, l_linenumber - 1 AS r0, l_linenumber + CAST(l_quantity AS INTEGER) % 2 AS r1, CAST(l_suppkey % 3 AS INTEGER) AS c0, CAST(l_suppkey % 3 + 1 + l_partkey % 2 AS INTEGER) AS c1, CAST(l_partkey AS VARCHAR) AS text FROM lineitem),
@@ -265,11 +320,6 @@ def language_route(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.route_engine(F.lit("auto"), "lang").alias("engine"), T.route_engine(F.when(F.col("doc_id") % 2 == 0, "Tesseract").otherwise("auto"), "lang").alias("asked"))
 
 
-@_query("SELECT l.quality, d.lang, count(*) AS n, CAST(sum(length(d.text)) AS BIGINT) AS n_chars FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY l.quality, d.lang")
-def quality_join(spark, sf):
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").groupBy("quality", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
-
-
 @_query(f"""WITH {_LINES}, p AS (SELECT doc_id, page, sum(length(text)) >= 400 AS reliable FROM lines GROUP BY doc_id, page)
     SELECT doc_id, CAST(page AS INTEGER) AS page, reliable, count(*) FILTER (WHERE reliable) OVER (PARTITION BY doc_id) >= greatest(1, (count(*) OVER (PARTITION BY doc_id) + 1) // 2) AND reliable AS use_layer FROM p""")
 def text_layer_vote(spark, sf):
