@@ -51,10 +51,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: spark.checkpoint.dir, else a folder of the warehouse."""
+    """The shared folder for checkpoints: spark.checkpoint.dir; in local mode, where it may be unset, one of the warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         given = sc.getConf().get("spark.checkpoint.dir")
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc.getCheckpointDir()
 
@@ -94,8 +96,12 @@ def discard(df: DataFrame) -> None:
     """Deletes the folder of a frame from `cut` that no plan reads any longer."""
     file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
     if file.isDefined():
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        remove(df.sparkSession, file.get())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
