@@ -9,16 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.llm import decontamination, line_dedup, near_duplicates, packing, toxicity
-from vellumspark.llm.common import bloom_blocks, bloom_filter, bloom_may_contain, count_of, cut, fresh, shared_dir, table
+from vellumspark.llm.common import bloom_blocks, bloom_filter, bloom_may_contain, count_of, cut, fresh, remove, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject; the model learns from the table labels.
+
+    Null and empty texts are scored as texts without words, repeated rows alike; texts of any length go in whole. Without
+    labels of both kinds all rows get the mean label (none: 0, so all stay). An empty table gives no rows.
+    """
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand earlier; those of which nothing is left go."""
+    """Documents without passages that stand earlier; those of which nothing is left go.
+
+    n_chars follows the text. Null, empty and short texts stay as they are; null ids come first; rows of equal doc_id and
+    text are one document and are treated alike. An empty table gives no rows.
+    """
     out = line_dedup.dedup_lines(docs).where("removed_words = 0 or removed_words < n_words")
     return out.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
@@ -45,12 +53,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the table benchmark.
+
+    Null and empty texts, on either side, hold and are nothing; each row is judged by its own doc_id and text. Without
+    items all rows stay; an empty table gives no rows.
+    """
     return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; each row is a document of its own, a null or empty text one piece of one id."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -67,7 +79,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each result but the last is written to the shared folder and read again."""
+    """Applies STAGES to documents; each result but the last is written to the shared folder and read again.
+
+    A result that the next one has been made from is deleted.
+    """
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
@@ -75,4 +90,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if n < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{n}")
             docs = spark.read.parquet(f"{folder}/{n}")
+            if n:
+                remove(spark, f"{folder}/{n - 1}")
     return docs
