@@ -14,7 +14,7 @@ from vellumspark.functions import tables as B
 from vellumspark.functions import text as T
 from vellumspark.operators import export, layout
 from vellumspark.plans import catalog
-from vellumspark.sources.layout import corrections, history
+from vellumspark.sources.layout import corrections, history, history_file, last_corrections
 from vellumspark.streaming.corrections import correction_stream, retrain_trigger
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -127,9 +127,17 @@ def test_logs_history_and_trigger(spark, tmp_path):
     fired: list[int] = []
     retrain_trigger(correction_stream(spark, str(log)), str(tmp_path / "c"), 5, fired.append).awaitTermination()
     assert fired == [5, 10]
+    (log / "c.json").write_text("\n".join(line % k for k in range(12, 17)))
+    retrain_trigger(correction_stream(spark, str(log)), str(tmp_path / "c"), 5, fired.append).awaitTermination()
+    assert fired == [5, 10, 15]  # the count outlives the query
+    assert [r.correction_id for r in last_corrections(corrections(spark, str(log)), 2).collect()] == ["9", "8"]
     os.makedirs(tmp_path / "h/user/20260101")
     (tmp_path / "h/user/20260101/info.json").write_text('{"entry_id": "20260101", "created_at": "2026-01-01T00:00:00", "files": {"txt": "x.txt"}}')
-    assert history(spark, str(tmp_path / "h")).first().files == {"txt": "x.txt"}
+    os.makedirs(tmp_path / "h/other/20260101")
+    (tmp_path / "h/other/20260101/info.json").write_text('{"entry_id": "20260101", "created_at": "2026-01-02T00:00:00", "files": {"txt": "y.txt"}}')
+    entries = history(spark, str(tmp_path / "h"))
+    assert {r.user: r.files for r in entries.collect()} == {"user": {"txt": "x.txt"}, "other": {"txt": "y.txt"}}
+    assert [r.path for r in history_file(entries, "../user", "2026.0101", "txt").collect()] == ["x.txt"] and history_file(entries, "user", "20260101", "html").count() == 0
 
 
 def plain_near(rows):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.functions.geometry import box
+from vellumspark.functions.text import sanitize_component
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +52,24 @@ HISTORY = "entry_id string, original_filename string, created_at string, files m
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """History entries, newest first; a file that is no entry is skipped. Naive times count as UTC."""
+    """History entries of all users (folders user/entry/info.json), newest first; a file that is no entry is skipped.
+
+    Naive times count as UTC.
+    """
     rows = spark.read.schema(HISTORY).option("multiLine", True).option("mode", "DROPMALFORMED").json(f"{path}/*/*/info.json")
-    return rows.where("entry_id is not null").withColumn("created_at", F.to_timestamp("created_at")).orderBy(F.desc("entry_id"))
+    user = F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+/info\.json$", 1).alias("user")
+    return rows.select("*", user).where("entry_id is not null").withColumn("created_at", F.to_timestamp("created_at")).orderBy(F.desc("entry_id"))
+
+
+def history_file(entries: DataFrame, user: str, entry_id: str, fmt: str) -> DataFrame:
+    """The path of a user's own file; names are stripped of all but letters, digits, underscore and hyphen first."""
+    own = (F.col("user") == sanitize_component(F.lit(user))) & (F.col("entry_id") == sanitize_component(F.lit(entry_id)))
+    return entries.where(own).select(F.element_at("files", fmt).alias("path")).where("path is not null")
 
 
-def history_file(entries: DataFrame, entry_id: str, fmt: str) -> DataFrame:
-    return entries.where(F.col("entry_id") == entry_id).select(F.element_at("files", fmt).alias("path")).where("path is not null")
+def last_corrections(log: DataFrame, n: int = 50) -> DataFrame:
+    """The last n lines of a correction log, newest first."""
+    return log.orderBy(F.desc("timestamp"), F.desc("correction_id")).limit(n)
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
