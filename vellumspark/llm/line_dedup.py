@@ -149,6 +149,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
 
     prints = base.select(k0, th, body).mapInArrow(mark, "h long, k long, t long, pos long").persist()
     firsts = prints.groupBy("h").agg(F.min(F.struct("k", "t", "pos")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "f.*").toDF("h", "fk", "ft", "fpos")
+    firsts = cut(firsts)  # apart from the sums, the join's partitions can be split where a fingerprint is very frequent
     later = prints.join(firsts, "h").where("not (k = fk and t = ft and pos = fpos)")
     anchor = F.when(F.col("pos") != WHOLE, F.struct("fk", "ft", "pos", "fpos"))
     repeats = cut(later.groupBy("k", "t").agg(F.max(F.col("pos") == WHOLE).alias("copy"), F.collect_set(anchor).alias("anchors")))
