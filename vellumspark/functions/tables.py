@@ -61,7 +61,18 @@ def weak(q: Column) -> Column:
 
 
 def columns_are_duplicates(grid: Column) -> Column:
-    """At least two rows, and half of those with both cells, have equal or contained first two cells."""
-    pairs = F.filter(F.transform(F.filter(grid, lambda r: F.size(r) >= 2), lambda r: F.struct(r[0].alias("a"), r[1].alias("b"))), lambda p: (p["a"] != "") & (p["b"] != ""))
-    same = F.filter(pairs, lambda p: (p["a"] == p["b"]) | p["a"].contains(p["b"]) | p["b"].contains(p["a"]))
-    return (F.size(pairs) >= 2) & (F.size(same) * 2 >= F.size(pairs))
+    """Whether the first two columns say the same: in two rows at least, and in half of those where either says something or
+    in the first row. Cells say the same if they are equal or one holds the other."""
+    pairs = F.transform(F.filter(grid, lambda r: F.size(r) >= 2), lambda r: F.struct(strip_(r[0]).alias("a"), strip_(r[1]).alias("b")))
+    alike = lambda p: (p["a"] == p["b"]) | ((p["a"] != "") & (p["b"] != "") & (p["a"].contains(p["b"]) | p["b"].contains(p["a"])))
+    said = F.filter(pairs, lambda p: (p["a"] != "") | (p["b"] != ""))
+    same, head = F.size(F.filter(said, alike)), F.get(pairs, 0)
+    return (same >= 2) & ((same >= F.floor(F.size(said) * 0.5)) | F.coalesce((head["a"] != "") & alike(head), F.lit(False)))
+
+
+def column_count(html: Column) -> Column:
+    """The most columns of a row, spans counted; 0 without rows."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    span = lambda tag: F.coalesce(F.nullif(F.regexp_extract(tag, r"(?i)\bcolspan\s*=\s*[\"']?(\d+)", 1), F.lit("")).cast("int"), F.lit(1))
+    width = lambda r: F.aggregate(F.regexp_extract_all(r, F.lit(r"(?i)<t[dh]\b[^>]*>"), F.lit(0)), F.lit(0), lambda acc, tag: acc + span(tag))
+    return F.coalesce(F.array_max(F.transform(rows, width)), F.lit(0))

@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellumspark.options import BLANK_CELL_PHRASES, NAME_PHRASES, PRODUCTS
+from vellumspark.options import BLANK_CELL_PHRASES, FOOTER_CRUMBS, FOOTER_NOISE, NAME_PHRASES, PRODUCTS, SCALES, THAI_FAST_SCALES
 
 THAI = "\\u0E00-\\u0E7F"
 SPACE = r"(?U)\s+"
@@ -170,6 +170,53 @@ def garbled_for_thai(text, tokens: tuple[str, ...] = ()) -> Column:
     return (strip_(t) != "") & (t.rlike("|".join(NAME_PHRASES)) | latin)
 
 
+def footer_noise(text) -> Column:
+    return _col(text).rlike("(?U)" + FOOTER_NOISE)
+
+
+def scrub_footer(text) -> Column:
+    """Without the crumbs of forms and footers, white space as single spaces."""
+    t = _col(text)
+    for crumb in FOOTER_CRUMBS:
+        t = F.regexp_replace(t, "(?U)" + crumb, " ")
+    return strip_(F.regexp_replace(t, SPACE, " "))
+
+
+def polish_list(text) -> Column:
+    """Text with list markers put right: quotes and wide brackets behind a number, and numbers said twice. Lines of up to
+    three Thai characters without a digit go."""
+    stray = lambda x: (strip_(x) != "") & (thai_count(x) <= 3) & ~x.rlike(r"(?U)\d")
+    t = strip_(F.array_join(F.filter(F.split(_col(text), "\n"), lambda x: ~stray(x)), "\n"))
+    t = F.regexp_replace(t, "(?mU)^(\\d{1,2})\\s*[\"\u201c\u201d\u2018\u2019']+", "$1)")
+    t = F.replace(F.replace(t, F.lit("11\""), F.lit("11)")), F.lit("11'"), F.lit("11)"))
+    t = F.regexp_replace(t, "(?mU)^(\\d{1,2})\\s*\uff09", "$1)")
+    t = F.regexp_replace(t, r"(?U)^(\d{1,2}\))\s+\1\s*", "$1 ")
+    t = F.regexp_replace(t, r"(?U)^(\d{1,2}\))\s+\d{1,2}\s+", "$1 ")
+    return F.when(stray(_col(text)), F.lit("")).otherwise(strip_(F.regexp_replace(t, SPACE, " ")))
+
+
+def markers_in(text, markers) -> Column:
+    """Those of the markers that the text has: as they stand first, then those written with spaces or a comma."""
+    t = arabic_digits(F.coalesce(_col(text), F.lit("")))
+    loose = F.replace(norm_key(t), F.lit(","), F.lit("."))
+    plain = F.filter(_col(markers), lambda m: t.contains(m))
+    return F.concat(plain, F.filter(_col(markers), lambda m: ~t.contains(m) & loose.contains(m)))
+
+
+def render_scale(quality, languages, hurried: bool = False, override: float | None = None) -> Column:
+    """Pixels for a point of the page; a scale that is given holds, from 1 to 20."""
+    if override is not None:
+        return F.lit(max(1.0, min(override, 20.0)))
+    q = _col(quality)
+    known = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in SCALES.items() for x in kv)), q), F.lit(SCALES["accurate"]))
+    return F.when(wants_thai(languages) & (q == "fast"), F.greatest(known, F.lit(THAI_FAST_SCALES[hurried]))).otherwise(known)
+
+
+def trim_percent(value) -> Column:
+    """A margin to cut, in percent: 25 at most."""
+    return F.greatest(F.lit(0.0), F.least(_col(value).cast("double"), F.lit(25.0)))
+
+
 def refuse_latin(text, languages) -> Column:
     """The trimmed text, or nothing where Thai is wanted and the text is gibberish."""
     t = strip_(F.coalesce(_col(text), F.lit("")))

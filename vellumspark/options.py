@@ -29,6 +29,10 @@ class Options:
     near_height: float = 48.0
     near_overlap: float = 0.12
     chart_label: str = "แผนภูมิ"
+    smallest_figure_side: float = 12.0
+    smallest_figure_area: float = 900.0
+    graphic_pad: float = 6.0
+    most_drawings: int = 500
     retention_days: int = 30
     retrain_interval: int = 5
     junk_lines: tuple[str, ...] = field(default_factory=tuple)
@@ -39,8 +43,20 @@ LABEL_IDS = {
     "title": 0, "plain text": 1, "abandon": 2, "figure": 3, "figure_caption": 4,
     "table": 5, "table_caption": 6, "table_footnote": 7, "isolate_formula": 8, "formula_caption": 9,
 }
-# Page sizes in inches.
-PAGE_SIZES = {"A4": (8.27, 11.69), "Letter": (8.5, 11.0), "Legal": (8.5, 14.0), "A3": (11.69, 16.54)}
+# Classes by the kind of work they ask for.
+FIGURE_CLASSES = ("figure",)
+TABLE_CLASSES = ("table",)
+TEXT_CLASSES = ("title", "plain text")
+# Page sizes, and margins (top, bottom, left, right), in inches.
+PAGE_SIZES = {"A4": (8.27, 11.69), "Letter": (8.5, 11.0), "Legal": (8.5, 14.0), "A3": (11.69, 16.54), "B5": (6.93, 9.84)}
+MARGINS = {"Normal": (1.0, 1.0, 1.0, 1.0), "Narrow": (0.5, 0.5, 0.5, 0.5), "Moderate": (1.0, 1.0, 0.75, 0.75), "Wide": (1.0, 1.0, 1.5, 1.5)}
+# Pixels for a point of the page by quality, and the least for Thai in the fast one (usual, hurried).
+SCALES = {"fast": 5.0, "balanced": 7.5, "accurate": 10.0}
+THAI_FAST_SCALES = (7.5, 6.0)
+# Crumbs of forms and footers, and how the fourth item's body begins.
+FOOTER_NOISE = r"แบบฟอร์มเสนอ|จัดทำโดย\s*ศูนย์|e-mail\s*:|ict_its@|หน้า\s*[๐-๙0-9]{1,2}\s*$|ทันทีทันที"
+FOOTER_CRUMBS = (r"แบบฟอร์มเสนอ[\s\S]{0,120}", r"จัดทำโดย[\s\S]{0,80}ict_its@[^\s]*", r"หน้า[ \t]*[๐-๙0-9]{1,2}", r"(?:ทันที)+")
+ITEM_BODIES = ("จัดทำมาตรฐาน", "ระบบมาตรฐาน", "รับรองและประสาน")
 # Names of products that count as healthy Latin text in any case.
 PRODUCTS = ("ESET", "MySQL", "MS\\s*SQL", "SQL", "PC", "Plotter", "Firewall", "VMware", "Windows", "Office", "Server", "Multifunction")
 # Phrases that a Thai recogniser makes up for blank cells, and for names.

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from vellumspark.functions import geometry as G
 from vellumspark.functions import tables as B
 from vellumspark.functions import text as T
-from vellumspark.operators import export, layout
-from vellumspark.options import LABEL_IDS
+from vellumspark.operators import blocks, export, layout
+from vellumspark.options import FOOTER_CRUMBS, FOOTER_NOISE, LABEL_IDS
 from vellumspark.sources.layout import html_blocks, lines_of, regions_of, table
 
 QUERIES: dict = {}
@@ -365,3 +365,172 @@ def turn_similarity(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.token_jaccard("text", "next_text"), 6).alias("jaccard"))
+
+
+#: Lines that begin with list and section numbers, valid or not.
+_MARKED = "CASE ln % 4 WHEN 0 THEN CAST(ln % 37 AS STRING) || ') ' WHEN 1 THEN CAST(ln % 23 AS STRING) || '. ' WHEN 2 THEN CAST(ln % 22 AS STRING) || '.' || CAST(ln % 9 AS STRING) || ' ' ELSE '' END || text"
+
+
+def _marked(spark, sf):
+    return _lines(spark, sf).withColumn("text", F.expr(_MARKED))
+
+
+@_query(f"""WITH {_LINES}, s AS (SELECT doc_id, ln, string_split_regex(regexp_replace({_MARKED}, '^{_WS}+|{_WS}+$', '', 'g'), '{_WS}+') AS w FROM lines),
+    t AS (SELECT doc_id, ln, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM s),
+    v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, token ORDER BY ln, pos) AS k FROM t WHERE coalesce(TRY_CAST(regexp_extract(token, '^([0-9]{{1,2}})\\)$', 1) AS INT) BETWEEN 1 AND 30,
+        TRY_CAST(regexp_extract(token, '^([0-9]{{1,2}})\\.$', 1) AS INT) BETWEEN 1 AND 20,
+        TRY_CAST(regexp_extract(token, '^([0-9]{{1,2}})\\.([0-9]{{1,2}})$', 1) AS INT) BETWEEN 1 AND 20 AND TRY_CAST(regexp_extract(token, '^([0-9]{{1,2}})\\.([0-9]{{1,2}})$', 2) AS INT) BETWEEN 1 AND 20, false))
+    SELECT doc_id, string_agg(token, ' ' ORDER BY ln, pos) AS markers FROM v WHERE k = 1 GROUP BY doc_id""")
+def section_markers(spark, sf):
+    return blocks.section_markers(_marked(spark, sf)).select("doc_id", F.array_join("markers", " ").alias("markers"))
+
+
+@_query(f"""WITH {_LINES}, {_THAI}, s AS (SELECT doc_id, CAST(page AS INTEGER) AS page, ln, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS t FROM thai),
+    p AS (SELECT doc_id, page, sum(length(t)) AS c, sum(length(regexp_replace(t, '[^\\x{{0E00}}-\\x{{0E7F}}]', '', 'g'))) AS th, count(*) FILTER (WHERE t <> '') AS n, page % 2 AS f, max(ln) % 3 AS m, (max(ln) % 7) / 100.0 AS ink FROM s GROUP BY doc_id, page)
+    SELECT doc_id, page, c < 300 OR n < 5 OR (f >= 1 AND n < 6) OR (ink > 0.03 AND c < 1200) AS sparse, c < 20 AND n = 0 AND f = 0 AS sparse_in_haste, th >= 120 AND ((n >= 6 AND m = 0) OR n >= 8 OR (n >= 4 AND th >= 400 AND m <= 1)) AS complete FROM p""")
+def page_gates(spark, sf):
+    rows = _thai_lines(spark, sf)
+    stats = layout.page_statistics(rows).join(rows.groupBy("doc_id", "page").agg(F.max("ln").alias("last")), ["doc_id", "page"])
+    pages = stats.select("doc_id", "page", "n_chars", "n_thai", F.col("n_filled").alias("n_text"), F.lit(0).alias("n_tables"), (F.col("page") % 2).alias("n_figures"), (F.col("last") % 7 / 100.0).alias("ink"), (F.col("last") % 3).alias("n_missing"))
+    haste = blocks.page_gates(pages, speed=True).select("doc_id", "page", F.col("sparse").alias("sparse_in_haste"))
+    return blocks.page_gates(pages).join(haste, ["doc_id", "page"]).select("doc_id", "page", "sparse", "sparse_in_haste", "complete")
+
+
+@_query(f"""WITH {_LINES}, h AS (SELECT doc_id, CAST(page AS INTEGER) AS page, bool_or(regexp_matches({_MARKED}, '(^|{_WS})[23]{_WS}*[.)]') OR contains({_MARKED}, '2.2') OR contains({_MARKED}, '2.3') OR contains({_MARKED}, '3.1')) AS hit FROM lines WHERE ln % 3 <> 0 GROUP BY doc_id, page)
+    SELECT doc_id, page, hit, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY hit DESC, page) AS INTEGER) AS rank FROM h""")
+def recovery_order(spark, sf):
+    return blocks.recovery_order(_marked(spark, sf).where("ln % 3 <> 0"))
+
+
+@_query(f"WITH {_REGIONS} SELECT doc_id, page, coalesce(greatest(40.0, min(y0) FILTER (WHERE category <> 'text') - 4.0), 495.0) AS ceiling FROM regions WHERE category = 'text' OR page % 3 > 0 GROUP BY doc_id, page")
+def list_ceilings(spark, sf):
+    return blocks.list_ceilings(_regions(spark, sf).where("category = 'text' or page % 3 > 0"), 900.0)
+
+
+@_query(f"""WITH {_REGIONS}, r AS (SELECT *, class || CAST(ord % 5 AS VARCHAR) AS text FROM regions), lay AS (SELECT * FROM r WHERE ord % 2 = 0 AND category = 'text'), own AS (SELECT * FROM r WHERE ord % 2 = 1),
+    kept AS (SELECT * FROM lay a WHERE NOT EXISTS (SELECT 1 FROM own b WHERE b.category <> 'text' AND b.doc_id = a.doc_id AND b.page = a.page AND {_INTER} / least({_AREA('a')}, {_AREA('b')}) > 0.40)),
+    more AS (SELECT * FROM own a WHERE category = 'text' AND NOT EXISTS (SELECT 1 FROM own b WHERE b.category <> 'text' AND b.doc_id = a.doc_id AND b.page = a.page AND {_INTER} / least({_AREA('a')}, {_AREA('b')}) > 0.40)
+        AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.doc_id = a.doc_id AND k.page = a.page AND k.text = a.text))
+    SELECT doc_id, page, ord, category FROM kept UNION ALL SELECT doc_id, page, ord, category FROM more UNION ALL SELECT doc_id, page, ord, category FROM own WHERE category <> 'text'""")
+def hybrid_merge(spark, sf):
+    r = _regions(spark, sf).withColumn("text", F.concat("class", (F.col("ord") % 5).cast("string")))
+    return blocks.hybrid_merge(r.where("ord % 2 = 0"), r.where("ord % 2 = 1")).select("doc_id", "page", "ord", "category")
+
+
+@_query()
+def vector_graphics(spark, sf):
+    r = _regions(spark, sf)
+    return _flat(blocks.vector_graphics(r.where("category <> 'text'"), r.where("category = 'text'"), 1_000_000.0))
+
+
+_CLASSES = "CASE ord % 8 WHEN 0 THEN 'title' WHEN 1 THEN 'plain text' WHEN 2 THEN 'figure' WHEN 3 THEN 'figure_caption' WHEN 4 THEN 'table' WHEN 5 THEN 'table_footnote' WHEN 6 THEN 'isolate_formula' ELSE 'formula_caption' END"
+
+
+@_query(f"""WITH {_REGIONS} SELECT doc_id, CASE WHEN ord % 8 < 2 THEN 'text_regions' WHEN ord % 8 = 2 THEN 'figures' WHEN ord % 8 = 4 THEN 'tables' WHEN ord % 8 IN (3, 7) THEN 'captions' WHEN ord % 8 = 6 THEN 'formulas' ELSE 'other' END AS route, count(*) AS n
+    FROM regions GROUP BY ALL""")
+def class_routes(spark, sf):
+    return blocks.type_counts(blocks.route_classes(_regions(spark, sf).withColumn("class", F.expr(_CLASSES))), "route")
+
+
+_FOOTED = "CASE ln % 6 WHEN 0 THEN 'แบบฟอร์มเสนอ ' || text WHEN 1 THEN text || ' หน้า ' || CAST(ln % 90 AS STRING) WHEN 2 THEN repeat('กาขคง', 6) || ' หน้า ๓ ' WHEN 3 THEN 'กาขคง หน้า ๑๒' WHEN 4 THEN '4) กา หน้า 3' ELSE text END"
+_CRUMBS = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{FOOTER_CRUMBS[0]}', ' ', 'g'), '{FOOTER_CRUMBS[1]}', ' ', 'g'), '{FOOTER_CRUMBS[2]}', ' ', 'g'), '{FOOTER_CRUMBS[3]}', ' ', 'g')"
+_LETTERS = lambda t: f"length(regexp_replace({t}, '[^\\x{{0E00}}-\\x{{0E7F}}]', '', 'g'))"
+
+
+@_query(f"""WITH {_LINES}, s AS (SELECT doc_id, ln, y0, {_FOOTED} AS text, regexp_replace({_FOOTED}, '^{_WS}+|{_WS}+$', '', 'g') AS t FROM lines),
+    c AS (SELECT *, {_LETTERS('t')} AS th, regexp_matches(t, '{FOOTER_NOISE}') AS noisy, trim(regexp_replace({_CRUMBS}, '{_WS}+', ' ', 'g')) AS cleaned FROM s),
+    e AS (SELECT *, cleaned <> '' AND {_LETTERS('cleaned')} >= greatest(12, th // 3) AS enough, y0 > 0.88 * 960 AND th < 24 AND NOT regexp_matches(t, '^([0-9]{{1,2}}\\.[0-9]{{1,2}}\\b|[0-9]{{1,2}}\\s*[.)])') AS foot FROM c)
+    SELECT doc_id, ln, CASE WHEN noisy AND enough THEN cleaned ELSE text END AS text FROM e WHERE NOT (t = '' OR (noisy AND (foot OR (NOT enough AND th < 20 AND length(t) < 80))))""")
+def footer_crumbs(spark, sf):
+    made = _lines(spark, sf).withColumns({"text": F.expr(_FOOTED), "category": F.lit("text")})
+    return blocks.drop_footers(made, 960).select("doc_id", "ln", "text")
+
+
+_ITEMS = "CASE ln % 6 WHEN 0 THEN CAST(ln % 40 AS STRING) || '\" ' || text WHEN 1 THEN '3) 4 ' || text || ' กาขคง' WHEN 2 THEN 'ฮง' WHEN 3 THEN CAST(ln % 30 AS STRING) || ')  ' || CAST(ln % 30 AS STRING) || ') กาขคงก ' || text WHEN 4 THEN 'จัดทำมาตรฐาน กาขคง' ELSE text || ' ' || CAST(ln AS STRING) END"
+
+
+@_query(f"""WITH {_LINES}, s AS (SELECT doc_id, ln, {_ITEMS} AS text, regexp_replace({_ITEMS}, '^{_WS}+|{_WS}+$', '', 'g') AS t FROM lines),
+    a AS (SELECT *, replace(regexp_replace(t, '^([0-9]{{1,2}})\\s*"+', '\\1)'), '11"', '11)') AS q FROM s WHERE {_LETTERS('t')} > 3 OR regexp_matches(t, '[0-9๐-๙]')),
+    b AS (SELECT *, regexp_extract(q, '^([0-9]{{1,2}}\\))\\s+', 1) AS m, regexp_replace(q, '^[0-9]{{1,2}}\\)\\s+', '') AS rest FROM a),
+    c AS (SELECT *, CASE WHEN m <> '' AND starts_with(rest, m) THEN m || ' ' || ltrim(substr(rest, length(m) + 1)) ELSE q END AS u FROM b),
+    d AS (SELECT doc_id, ln, text, t, trim(regexp_replace(regexp_replace(u, '^([0-9]{{1,2}}\\))\\s+[0-9]{{1,2}}\\s+', '\\1 '), '{_WS}+', ' ', 'g')) AS p FROM c),
+    e AS (SELECT doc_id, ln, CASE WHEN p <> t THEN p ELSE text END AS text, bool_or(regexp_matches(p, '^0?4\\s*[.)]')) OVER (PARTITION BY doc_id) AS fourth FROM d)
+    SELECT doc_id, ln, text FROM e WHERE NOT (fourth AND starts_with(text, 'จัดทำมาตรฐาน'))""")
+def list_polish(spark, sf):
+    return blocks.polish_lists(_lines(spark, sf).withColumns({"text": F.expr(_ITEMS), "category": F.lit("text")})).select("doc_id", "ln", "text")
+
+
+# rows of three cells, the first two alike in every second table; a third of the tables begin with a cell over the whole width
+_CELLS3 = """SELECT l_orderkey AS table_id, l_linenumber * 3 + c AS ord, l_linenumber - 1 AS r0, l_linenumber AS r1, c AS c0, CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN 3 ELSE c + 1 END AS c1,
+    CASE WHEN c = 1 AND l_orderkey % 2 = 0 THEN CAST(l_suppkey AS STRING) || 'x' WHEN c = 2 OR c = 1 THEN 'p' || CAST(l_partkey AS STRING) ELSE CAST(l_suppkey AS STRING) END AS text
+    FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL), (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) k WHERE c = 0 OR NOT (l_linenumber = 1 AND l_orderkey % 3 = 0)"""
+
+
+@_query(f"""WITH cells AS ({_CELLS3}), p AS (SELECT table_id, r0, max(CASE WHEN c0 <= 0 AND c1 > 0 THEN text END) AS a, max(CASE WHEN c0 <= 1 AND c1 > 1 THEN text END) AS b FROM cells GROUP BY table_id, r0),
+    f AS (SELECT table_id, count(*) FILTER (WHERE contains(a, b) OR contains(b, a)) AS same, count(*) AS said, bool_or(r0 = 0 AND (contains(a, b) OR contains(b, a))) AS head FROM p GROUP BY table_id),
+    w AS (SELECT table_id, same >= 2 AND (same >= said // 2 OR head) AND (SELECT max(c1) FROM cells c WHERE c.table_id = f.table_id) = 3 AS fold FROM f),
+    x AS (SELECT cells.*, fold FROM cells JOIN w USING (table_id))
+    SELECT table_id, r0, c0, r1, c1, text FROM x WHERE NOT fold UNION ALL
+    SELECT table_id, r0, 0, min(r1), 1, arg_max(text, length(text) * 100 - ord) FROM x WHERE fold AND c1 <= 2 GROUP BY table_id, r0 UNION ALL
+    SELECT table_id, r0, 1, r1, 2, text FROM x WHERE fold AND c0 = 2""")
+def column_fold(spark, sf):
+    one = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey"))
+    c = one.select("*", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("c"))
+    head = (F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 3 == 0)
+    text = F.expr("case when c = 1 and l_orderkey % 2 = 0 then l_suppkey || 'x' when c > 0 then 'p' || l_partkey else string(l_suppkey) end")
+    cells = c.where((F.col("c") == 0) | ~head).select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") * 3 + F.col("c")).alias("ord"), (F.col("l_linenumber") - 1).alias("r0"), F.col("l_linenumber").alias("r1"), F.col("c").alias("c0"), F.when(head, 3).otherwise(F.col("c") + 1).alias("c1"), text.alias("text"))
+    return blocks.fold_columns(cells)
+
+
+def _cells_sql(name: str, where: str) -> str:
+    return f"""{name}_x AS (SELECT l_orderkey // 8 AS t, [{_THAI_CELL}, {_CELL}, l_returnflag] AS w FROM lineitem WHERE {where}),
+    {name} AS (SELECT t, count(*) AS nrows, sum(len(list_filter(w, lambda x: x <> ''))) AS filled, sum(len(list_filter(w, lambda x: x <> ''))) / (3 * count(*)) AS fill,
+        sum(len(list_filter(w[1:2], lambda x: {_LETTERS('x')} >= 2))) / (2 * count(*)) AS left_fill, CAST(sum({_LETTERS("array_to_string(w, '')")}) AS DOUBLE) AS thai FROM {name}_x GROUP BY t)"""
+
+
+_THAI_CELL = "CASE WHEN l_orderkey % 2 = 0 THEN 'ขค' ELSE '' END || CAST(l_linenumber AS STRING)"
+_FIRST, _SECOND = "l_linenumber <= 1 + (l_orderkey // 8) % 4", "l_linenumber <= 1 + (l_orderkey // 8) % 7"
+
+
+@_query(f"""WITH {_cells_sql('a', _FIRST)}, {_cells_sql('b', _SECOND)}, j AS (SELECT a.t, a.nrows AS ra, b.nrows AS rb, a.thai AS ta, b.thai AS tb, a.left_fill AS la, b.left_fill AS lb, a.fill AS fa, b.fill AS fb, a.filled AS na, b.filled AS nb FROM a JOIN b USING (t))
+    SELECT t AS table_id, CASE WHEN ra >= 6 AND t % 3 > 0 AND NOT (rb >= floor(ra * 1.25) AND tb > ta * 1.15 AND lb > la) THEN false
+        WHEN rb >= 18 AND ra < floor(rb * 0.75) AND (tb >= ta * 0.8 OR lb >= la OR fb >= fa) THEN true
+        WHEN ra >= 12 AND NOT (ta < 80 OR la < 0.35 OR fa < 0.45 OR (ra < 18 AND (la < 0.55 OR ta < 200))) AND rb < greatest(8, floor(ra * 0.7)) THEN false
+        ELSE (tb, lb, fb, nb, rb) > (ta, la, fa, na, ra) END AS second FROM j""")
+def pick_table(spark, sf):
+    row = F.array(F.expr(_THAI_CELL), F.expr(_CELL), F.col("l_returnflag"))
+    rows = table(spark, sf, "lineitem").withColumn("t", F.floor(F.col("l_orderkey") / 8).cast("bigint"))
+    grid = lambda n, most: rows.where(F.col("l_linenumber") <= 1 + F.col("t") % most).groupBy("t").agg(F.collect_list(row).alias(n))
+    q = grid("a", 4).join(grid("b", 7), "t").select("t", B.quality(F.col("a")).alias("a"), B.quality(F.col("b")).alias("b"))
+    return q.select(F.col("t").alias("table_id"), blocks.better_table(F.col("a"), F.col("b"), F.col("t") % 3 == 0).alias("second"))
+
+
+@_query(f"""WITH {_REGIONS}, b AS (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM regions),
+    p AS (SELECT doc_id, ord, CASE WHEN before IS NULL OR before <> page THEN CASE WHEN before IS NULL THEN '' ELSE chr(10) || repeat('─', 60) || chr(10) || chr(10) END || '  Page ' || (page + 1) || chr(10) || chr(10) || repeat('─', 60) || chr(10) ELSE '' END AS head,
+        CASE WHEN category = 'figure' THEN '[Figure ' || ord || ' — Page ' || (page + 1) || ']' WHEN ord % 11 = 0 THEN '' WHEN category = 'table' THEN '[Table]' || chr(10) || class ELSE class END AS part FROM b)
+    SELECT doc_id, '--- Document Info ---' || chr(10) || 'made' || chr(10) || '---' || chr(10) || chr(10) || chr(10) || string_agg(x, chr(10) || chr(10) ORDER BY ord, k) AS text
+    FROM (SELECT doc_id, ord, 0 AS k, head AS x FROM p UNION ALL SELECT doc_id, ord, 1, part FROM p) WHERE x <> '' GROUP BY doc_id""")
+def txt_export(spark, sf):
+    made = _regions(spark, sf).withColumns({"text": F.when(F.col("ord") % 11 == 0, " ").otherwise(F.col("class")), "figure": F.col("ord")})
+    return export.blocks_to_txt(made, "made")
+
+
+@_query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN lang = 'th' THEN 7.5 ELSE 5.0 END WHEN doc_id % 4 = 1 THEN 7.5 ELSE 10.0 END AS scale,
+    CASE WHEN doc_id % 4 = 0 THEN CASE WHEN lang = 'th' THEN 6.0 ELSE 5.0 END WHEN doc_id % 4 = 1 THEN 7.5 ELSE 10.0 END AS hurried, CAST(greatest(0, least(doc_id % 60 - 10, 25)) AS DOUBLE) AS trim FROM documents""")
+def render_scales(spark, sf):
+    quality = F.expr("case doc_id % 4 when 0 then 'fast' when 1 then 'balanced' when 2 then 'accurate' else 'other' end")
+    return table(spark, sf, "documents").select("doc_id", T.render_scale(quality, "lang").alias("scale"), T.render_scale(quality, "lang", True).alias("hurried"), T.trim_percent(F.col("doc_id") % 60 - 10).alias("trim"))
+
+
+@_query("""SELECT l_orderkey, l_linenumber, CAST(greatest(1 + l_linenumber, l_quantity % 5) AS INTEGER) AS n_columns, least(l_partkey / 150.0e0, 8.27e0 - 0.75e0 - 0.75e0 - 0.2e0) AS inches FROM lineitem""")
+def export_sizes(spark, sf):
+    html = F.expr("""concat('<table><tr><td>a</td><th colspan="', l_linenumber, '">b</th></tr><TR>', repeat('<td class="c">c</td>', cast(l_quantity % 5 as int)), '</TR></table>')""")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", B.column_count(html).alias("n_columns"), export.image_width(F.col("l_partkey"), 150.0, margins="Moderate").alias("inches"))
+
+
+@_query(f"""WITH {_LINES}, t AS (SELECT doc_id, ln, translate({_MARKED}, '๐๑๒๓๔๕๖๗๘๙', '0123456789') AS t FROM lines), m AS (SELECT * FROM (VALUES (1, '4)'), (2, '1.2'), (3, '12)'), (4, '2.')) v(k, token)),
+    h AS (SELECT doc_id, ln, k, token, contains(t, token) AS plain, contains(replace(regexp_replace(t, '{_WS}+', '', 'g'), ',', '.'), token) AS loose FROM t, m)
+    SELECT doc_id, ln, string_agg(token, ' ' ORDER BY plain DESC, k) AS markers FROM h WHERE plain OR loose GROUP BY doc_id, ln""")
+def markers_in_lines(spark, sf):
+    found = F.array_join(T.markers_in("text", F.array(*map(F.lit, ("4)", "1.2", "12)", "2.")))), " ")
+    return _marked(spark, sf).select("doc_id", "ln", found.alias("markers")).where("markers <> ''")
