@@ -236,3 +236,25 @@ def test_near_duplicates_go_by_row(spark):
     frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
     got = sorted([(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, frame, SF).collect()], key=str)
     assert got == sorted([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c)), (4, None), (5, "")], key=str)
+
+
+def test_leaks_at_windows_that_no_shingle_aligns(spark):
+    rng = random.Random(21)
+    w, v = words(rng, 64), words(rng, 60)
+    again = "la " * 12
+    items = [(0, " ".join(w)), (1, " ".join(v)), (2, "x y z " + again + " ".join(v[:9]))]
+    pad = lambda: " ".join(words(rng, 70))
+    docs = [
+        (0, " ".join([pad(), *w[32:], *w[:32], pad()])),  # halves in the other order
+        (1, " ".join([pad(), *v[40:], *v[20:40], *v[:20], pad()])),
+        (2, " ".join([pad(), *w[8:], pad()])),  # a part that the best window holds with what stands before it
+        (3, " ".join([*v[45:], *v[:45]])),  # shorter than one of the items, as long as the other
+        (4, " ".join([pad(), again, again, *v[:9], "x y z", again, *v[:9], again, pad()])),
+        (5, " ".join([*w[30:], pad(), *w[:30]])),
+        (6, " ".join([*w[32:], *w[:20]])),
+        (7, " ".join([*v[:20], *words(rng, 3), *v[20:]])),
+    ]
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(docs, items)
+    assert {k: x for k, (x, _) in got.items()} == want
+    assert got[0, 0][1] == 70 and {(0, 0), (1, 1), (2, 0), (3, 1), (4, 2), (7, 1)} <= set(want)
