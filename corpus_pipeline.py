@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from vellumspark.llm import decontamination, line_dedup, near_duplicates, packing, toxicity
 from vellumspark.llm.common import bloom_blocks, bloom_filter, bloom_may_contain, count_of, cut, fresh, remove, shared_dir, table
 
+#: Words that a worker of the last stage remembers.
+PACKING_MEMO = 1 << 18
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; the model learns from the table labels.
@@ -62,8 +65,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences; each row is a document of its own, a null or empty text one piece of one id."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The pieces of the packed sequences; each row is a document of its own, a null or empty text one piece of one id.
+
+    The executors still hold the memory of the stages before, so workers remember fewer words than by themselves.
+    """
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo=PACKING_MEMO)
 
 
 STAGES = [

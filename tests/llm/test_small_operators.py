@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+import corpus_pipeline
 from vellumspark.llm import packing, registry, secrets, sharding, token_counts, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -225,3 +226,20 @@ def test_texts_without_sentence_ends_leave_little_padding():
     pieces = list(packing.pack_stream(iter([(list(range(60)), ["1399"] * 60)]), Numbers(), np.array([5], np.int32), 4096, 2, 0))
     windows = len(set(np.concatenate([p["sequence_id"] for p in pieces]).tolist()))
     assert windows == -(-60 * 1400 // 4096)
+
+
+def test_packing_with_few_words_remembered(spark, sf):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    order = ["sequence_id", "offset"]
+    many, few = (packing.pack_documents(docs, path, memo=m).toPandas().sort_values(order, ignore_index=True) for m in (None, 300))
+    assert many.equals(few)
+    encoder, _ = packing.load(path, 300)
+    assert packing.load(path)[0].memo == packing.MEMO and encoder.memo == 300
+    sizes = []
+    for i in range(0, 4000, 100):
+        ids, _ = encoder.encode([" ".join(f"w{k}q" for k in range(i, i + 100))])
+        assert ids.tolist() == encoder.tokenizer.encode(" ".join(f"w{k}q" for k in range(i, i + 100)), add_special_tokens=False).ids
+        sizes.append(len(encoder.index))
+    assert max(sizes) <= 300 + 2 * 100 + 1
+    assert corpus_pipeline.PACKING_MEMO < packing.MEMO

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -10,6 +11,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed, in this task or in those before, back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: spark.checkpoint.dir; in local mode, where it may be unset, one of the warehouse."""
     sc = spark.sparkContext

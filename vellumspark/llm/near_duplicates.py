@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumspark.llm import shingles
-from vellumspark.llm.common import bloom_blocks, bloom_filter, bloom_may_contain, count_of, cut, ship
+from vellumspark.llm.common import bloom_blocks, bloom_filter, bloom_may_contain, count_of, cut, release, ship
 from vellumspark.llm.components import components
 
 #: A signature has CHUNKS chunks of ROWS minima. A pair is a candidate if some chunk has one differing place at most;
@@ -91,6 +91,8 @@ def sign(docs: DataFrame) -> DataFrame:
                 ids.append(b)
                 sigs.append(c)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], names=["key", "th", "n", "set_id", "sig"])
+        memo = {}
+        release()
 
     return docs.select("key", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "key long, th long, n long, set_id binary, sig binary")
 

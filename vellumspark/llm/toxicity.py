@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumspark.llm.common import cut, fresh, ship
+from vellumspark.llm.common import cut, fresh, release, ship
 
 #: Labelled rows that the model is fitted on at most (those of least hash), and entries of the learnt lexicon at most.
 SAMPLE, LEXICON = 20_000, 2_000
@@ -261,6 +261,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> Da
                 part = batch.slice(i, 500)
                 score = held.value.score(features.of([t or "" for t in part.column(own).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
+        features = None
+        release()
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), "score double", "predicted int"])
     return docs.select(*kept, F.col(text).alias(own)).mapInArrow(run, fields)
